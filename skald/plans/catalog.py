@@ -2,5 +2,291 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skald.functions import html, text
+from skald.operators import crawl, expand, index, search
+from skald.operators.highlight import highlighted
+from skald.operators.query import parse
+from skald.plans import oracles as sql
+from skald.plans.corpora import NOW, parts, table, web
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SYNONYMS = {"red": ["blue", "hot"], "thin": ["that", "ring"]}
+PRIORS = {"src0": 1.5, "src1": 0.5, "3": 1.2}
+#: Query texts over ``documents`` and over ``part``.
+TERM, PAIR, PART = "estion", "the thin reand", "ring widget"
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def hits(rows: DataFrame, n: int = 10) -> DataFrame:
+    return search.page_of(rows, 1, n).select("id", F.round("score", 6).alias("score"))
+
+
+def _searching(name: str, docs, docs_sql: str, q: str, boost: str = "0.0", settings: search.Settings | None = None, n: int = 10) -> None:
+    QUERIES[name] = lambda spark, sf_dir: hits(search.search(docs(spark, sf_dir), q, settings), n)
+    ORACLES[name] = sql.top(sql.search(parse(q), docs_sql, settings, boost), n)
+
+
+def _phrase(*pairs: tuple[str, str]) -> str:
+    cases = (f"CASE WHEN len(list_filter(coalesce(lines, []), lambda x: contains(x, ' {toks} '))) > 0 THEN 2.0 WHEN contains({sql.TEXT}, '{raw.lower()}') THEN 0.5 ELSE 0.0 END" for raw, toks in pairs)
+    return " + ".join(cases)
+
+
+def _intent(some: list[str], every: list[str], value: float) -> str:
+    any_of = " OR ".join(f"contains({sql.TEXT}, '{w}')" for w in some)
+    all_of = "".join(f" AND contains({sql.TEXT}, '{w}')" for w in every)
+    return f"CASE WHEN ({any_of}){all_of} THEN {value} ELSE 0.0 END"
+
+
+# Searches: one per kind of query text.
+_searching("search_single_term", web, sql.WEB, TERM)
+_searching("search_and", web, sql.WEB, PAIR)
+_searching("search_or", web, sql.WEB, "OR thin reand")
+_searching("search_sticky_or", web, sql.WEB, "thin OR reand the")
+_searching("search_not_is_optional", web, sql.WEB, "NOT thin reand")
+_searching("search_negated", web, sql.WEB, "thin -that")
+_searching("search_only_negated", parts, sql.PARTS, "-ring")
+_searching("search_prefix_short", parts, sql.PARTS, "ri")
+_searching("search_fuzzy", parts, sql.PARTS, "widgot")
+_searching("search_parts_and", parts, sql.PARTS, PART, n=50)
+_searching("search_synonyms", parts, sql.PARTS, "red", settings=search.Settings(synonyms=SYNONYMS), n=50)
+_searching("domain_prior", web, sql.WEB, TERM, settings=search.Settings(priors=PRIORS), n=50)
+_searching("search_phrase", parts, sql.PARTS, '"ring widget"', _phrase(("ring widget", "r widget")).replace("' r widget '", "' ring widget '"), n=50)
+_searching("search_phrase_and_term", parts, sql.PARTS, 'widget "red ring"', _phrase(("red ring", "red ring")), n=50)
+_searching("phrase_substring_fallback", parts, sql.PARTS, '"d ri"', _phrase(("d ri", "ri")), n=50)
+_searching("search_all_docs", parts, sql.PARTS, "zzzzqq")
+_searching("intent_flights_to", parts, sql.PARTS, "flights to widget", _intent(["flight", "airline", "airfare", "ticket"], ["widget"], 1.2))
+_searching("intent_flights_from_to", parts, sql.PARTS, "OR red flights from ring to widget", _intent(["flight"], ["ring", "widget"], 1.3))
+_searching("intent_lodging", parts, sql.PARTS, "OR red hotel near widget", _intent(["hotel", "accommodation", "lodging", "stay"], ["widget"], 1.0))
+
+_RES = sql.search(parse(TERM), sql.WEB)
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(web(spark, sf_dir), TERM)
+
+
+def _on_results(name: str, f, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(_results(spark, sf_dir))
+    ORACLES[name] = oracle
+
+
+_on_results("filter_source", lambda r: hits(search.filtered(r, source="src0"), 30), sql.top(_RES, 30, where="source = 'src0'"))
+_on_results("filter_lang", lambda r: hits(search.filtered(r, lang=" EN "), 30), sql.top(_RES, 30, where="lower(trim(lang)) = 'en'"))
+_on_results("filter_date_range", lambda r: hits(search.filtered(r, from_="2024-02-01", to="2024-05-31"), 50), sql.top(_RES, 50, where="date_ts IS NULL OR (date_ts >= TIMESTAMP '2024-02-01' AND date_ts <= TIMESTAMP '2024-05-31')"))
+_on_results("filter_bad_date", lambda r: hits(search.filtered(r, from_="soon"), 30), sql.top(_RES, 30))
+_on_results("facet_source_hits", lambda r: search.facet(r, "source"), f"{_RES} SELECT source, count(*) AS n FROM res GROUP BY source")
+_on_results("facet_lang_page", lambda r: search.language_facet(search.page_of(search.diversified(r))), f"{_RES}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {sql.ORDER}) AS k FROM res) WHERE k <= 3 ORDER BY {sql.ORDER} LIMIT 10) SELECT coalesce(nullif(lower(trim(lang)), ''), 'unknown') AS lang, count(*) AS n FROM p GROUP BY 1")
+_on_results("sort_latest", lambda r: search.page_of(r, 1, 40, "latest").select("id", "date"), f"{_RES} SELECT id, date FROM (SELECT * FROM res ORDER BY {sql.LATEST} LIMIT 40)")
+_on_results("diversify_top3", lambda r: hits(search.diversified(r), 100), sql.top(_RES, 100, per_source=3))
+_on_results("page_2", lambda r: search.page_of(search.diversified(r), 2).select("id", F.round("score", 6).alias("score")), sql.top(_RES, 10, 10, per_source=3))
+_on_results("total_after_diversification", lambda r: search.diversified(r).agg(F.count("*").alias("n")), f"{_RES} SELECT count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY source ORDER BY {sql.ORDER}) AS k FROM res) WHERE k <= 3")
+_on_results("escape_html", lambda r: search.page_of(r).select("id", text.escape_html(F.col("snippet")).alias("escaped")), f"{_RES} SELECT id, replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM (SELECT * FROM res ORDER BY {sql.ORDER} LIMIT 10)")
+QUERIES["highlight"] = lambda spark, sf_dir: search.page_of(_results(spark, sf_dir)).select("id", highlighted(F.col("snippet"), TERM).alias("marked"))
+
+
+# Text functions.
+def _web_sql(select: str) -> str:
+    return f"WITH {sql.WEB} {select}"
+
+
+@query(_web_sql(f"SELECT id, {sql.norm('title')} AS folded FROM web"))
+def normalize_fold(spark, sf_dir):
+    return web(spark, sf_dir).select("id", text.normalize(F.col("title")).alias("folded"))
+
+
+def _token_counts(lang: str, name: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: text.exploded_tokens(web(spark, sf_dir).where(F.col("lang") == lang if lang == "en" else F.col("lang") != "en"), "body", "lang", "id").groupBy("id", "token").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+    test = "lang = 'en'" if lang == "en" else "lang <> 'en'"
+    ORACLES[name] = f"WITH {sql.WEB} SELECT id, token, count(*) AS tf, min(pos) AS first_pos FROM ({sql.tokens(f'(SELECT * FROM web WHERE {test})', 'body', 'body')}) GROUP BY id, token"
+
+
+_token_counts("en", "tokenize_en")
+_token_counts("other", "tokenize_other_lang")
+
+
+@query(_web_sql(f"SELECT id, pos, token FROM ({sql.tokens('web', 'url', 'url')})"))
+def url_tokens(spark, sf_dir):
+    return web(spark, sf_dir).select("id", F.posexplode(text.raw_tokens(F.col("url"))).alias("pos", "token"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(regexp_replace(t, '[^a-z ]', '', 'g')) >= 20 AND floor(length(regexp_replace(t, '[^\\x00-\\x7f]', '', 'g')) * 100 / length(t)) > 90 AND (contains(t, ' the ') OR contains(t, ' and ') OR contains(t, ' of ') OR contains(t, ' to ')) THEN 'en' ELSE '' END AS lang FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents)")
+def detect_language(spark, sf_dir):
+    return web(spark, sf_dir).select("id", text.guess_language(F.col("body")).alias("lang"))
+
+
+@query(_web_sql("SELECT id, CASE WHEN regexp_full_match(date, '\\d{4}-\\d\\d-\\d\\d') THEN strftime(try_cast(date AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') END AS at FROM web"))
+def parse_dates(spark, sf_dir):
+    return web(spark, sf_dir).select("id", text.rfc3339(text.parse_date(F.col("date"))).alias("at"))
+
+
+# The index.
+_TOK = f"WITH {sql.WEB}, {sql.all_tokens()}"
+
+
+@query(f"{_TOK} SELECT field, token, id, CAST(list_sort(list(pos))[1:5] AS VARCHAR) AS positions, count(*) AS tf FROM tok GROUP BY field, token, id")
+def postings_tf(spark, sf_dir):
+    shown = F.concat(F.lit("["), F.array_join(F.slice("positions", 1, 5).cast("array<string>"), ", "), F.lit("]"))
+    return index.postings(web(spark, sf_dir)).select("field", "token", "id", shown.alias("positions"), "tf")
+
+
+@query(f"{_TOK}, {sql.TF} SELECT token, df FROM df")
+def doc_freq(spark, sf_dir):
+    return index.document_frequencies(index.frequencies(web(spark, sf_dir)))
+
+
+@query(f"{_TOK} SELECT DISTINCT token FROM tok")
+def vocabulary(spark, sf_dir):
+    return index.tokens_of(web(spark, sf_dir)).select("token").distinct()
+
+
+@query("SELECT count(*) AS n FROM documents")
+def corpus_total(spark, sf_dir):
+    return web(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def facet_source_all(spark, sf_dir):
+    return search.facet(web(spark, sf_dir), "source")
+
+
+@query(_web_sql("SELECT id, title FROM web ORDER BY id LIMIT 50 OFFSET 100"))
+def list_docs_page(spark, sf_dir):
+    return web(spark, sf_dir).orderBy("id").offset(100).limit(50).select("id", "title")
+
+
+_VOCAB = f"WITH {sql.PARTS}, {sql.all_tokens()}, {sql.TF}"
+
+
+def _expansion(name: str, asked: list[str], synonyms: dict | None = None, **switches) -> None:
+    QUERIES[name] = lambda spark, sf_dir: expand.expand(index.document_frequencies(index.frequencies(parts(spark, sf_dir))), asked, synonyms, **switches)
+    ORACLES[name] = f"{_VOCAB}, {sql.variants(asked, synonyms)} SELECT q_token, token, mult FROM var"
+
+
+_expansion("expand_prefix", ["wi", "ri", "wid"])
+_expansion("expand_fuzzy", ["widgot", "rng", "rinx"])
+_expansion("expand_synonym", ["red"], SYNONYMS)
+_expansion("expand_priority", ["red", "ring", "blu", "ho"], {"red": ["red", "reds", "blue"], "blu": ["blue", "azure"]})
+
+
+# Transport fields, fallback.
+@query(sql.top(sql.search(parse("ring"), sql.PARTS), 30, where="lower(m_from) = 'port3' AND lower(m_to) = 'port1' AND contains(m_depart, '2024-03')"))
+def transport_meta_filter(spark, sf_dir):
+    found = search.search(parts(spark, sf_dir), "ring")
+    return hits(search.filtered(found, meta={"from": " PORT3", "to": "port1", "depart": "2024-03"}), 30)
+
+
+@query(sql.top(sql.search(parse("ring"), sql.PARTS), 20))
+def news_fallback(spark, sf_dir):
+    none = search.search(web(spark, sf_dir), "qqqqzzzz")
+    other = search.search(parts(spark, sf_dir), "ring").drop("meta")
+    return hits(search.with_fallback(none, other.select(none.columns)), 20)
+
+
+# Extraction.
+_SPACES = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_X = lambda pattern, c="html": f"regexp_extract({c}, '{pattern}', 1)"
+_STRIP = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>[\\s\\S]*?</script>', ' ', 'g'), '(?is)<style[^>]*>[\\s\\S]*?</style>', ' ', 'g'), '(?is)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_SPACES.format(_X('(?is)<title[^>]*>(.*?)</title>'))} AS title, coalesce(nullif({_SPACES.format(_X('(?is)<meta\\s+(?:name|property)=[\"'']description[\"'']\\s+content=[\"'']([^\"'']*)[\"''][^>]*>'))}, ''), {_SPACES.format(_X('(?is)<title[^>]*>(.*?)</title>'))}) AS description FROM pages")
+def extract_title_desc(spark, sf_dir):
+    h = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.coalesce(F.nullif(html.description(h), F.lit("")), html.title(h)).alias("description"))
+
+
+@query(f"SELECT page_id, left({_STRIP.format(_X('(?is)<article[^>]*>([\\s\\S]*?)</article>'))}, 800) AS body FROM pages")
+def extract_main_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.substring(html.main_text(F.col("html")), 1, 800).alias("body"))
+
+
+@query(f"SELECT page_id, array_to_string(list_filter([{_STRIP.format('x')} FOR x IN regexp_extract_all(html, '(?is)<h1[^>]*>([\\s\\S]*?)</h1>', 1)], lambda x: x <> ''), ' ' || chr(10) || ' ') AS headings FROM pages")
+def extract_headings(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.headings(F.col("html")).alias("headings"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s+[^>]*href=[\"'']([^\"'']+)[\"''][^>]*>', 1)) AS href FROM pages")
+def extract_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("href"))
+
+
+@query("SELECT page_id, sha1(url) AS id, regexp_extract(url, '^https?://(?:[^@/?#]*@)?([^/?#]+)', 1) AS host FROM pages")
+def doc_id_and_host(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", text.doc_id_of(u).alias("id"), text.crawl_host(u).alias("host"))
+
+
+@query("SELECT regexp_extract(url, '^https?://(?:[^@/?#]*@)?([^/?#]+)', 1) AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1")
+def pages_by_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(text.crawl_host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
+
+
+_LOG = "log AS (SELECT 'host' || (user_id % 50) || '.example.com' AS host, CASE WHEN event_id % 7 = 0 THEN 'blocked' ELSE 'fetched' END AS status, ts FROM events)"
+
+
+@query(f"WITH {_LOG} SELECT host, count(*) FILTER (status = 'fetched') AS pages_fetched, count(*) FILTER (status = 'blocked') AS blocked_by_robots, strftime(max(ts) FILTER (status = 'fetched'), '%Y-%m-%dT%H:%M:%SZ') AS last_fetch FROM log GROUP BY host")
+def host_stats(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.concat(F.lit("host"), F.col("user_id") % 50, F.lit(".example.com")).alias("host"), F.when(F.col("event_id") % 7 == 0, "blocked").otherwise("fetched").alias("status"), "ts")
+    return crawl.host_stats(log).withColumn("last_fetch", text.rfc3339(F.col("last_fetch").cast("timestamp")))
+
+
+@query("SELECT url, page_id FROM (SELECT url, page_id, row_number() OVER (PARTITION BY url ORDER BY page_id) AS k FROM pages) WHERE k = 1")
+def seen_dedupe(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+
+@query("SELECT host, url, depth FROM (SELECT host, url, depth, row_number() OVER (PARTITION BY host ORDER BY depth, url) AS k FROM (SELECT regexp_extract(url, '^https?://(?:[^@/?#]*@)?([^/?#]+)', 1) AS host, url, CAST(page_id % 4 AS INTEGER) AS depth FROM pages)) WHERE k <= 2")
+def host_cap(spark, sf_dir):
+    items = table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 4).cast("int").alias("depth"))
+    return crawl.host_capped(items, 2).select(text.crawl_host(F.col("url")).alias("host"), "url", "depth")
+
+
+@query("SELECT page_id, NOT (starts_with(p, '/a') OR starts_with(p, '/p')) OR starts_with(p, '/ar') AS allowed FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM pages)")
+def robots_allowed(spark, sf_dir):
+    rules = lambda *r: F.array(*map(F.lit, r))
+    return table(spark, sf_dir, "pages").select("page_id", crawl.allowed(F.col("url"), rules("/ar", ""), rules("/a", "", "/p")).alias("allowed"))
+
+
+@query()
+def frontier_step(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    start = pages.select("url", (F.col("page_id") % 5).cast("int").alias("depth"))
+    return crawl.frontier_step(start, pages, pages.select("url"))
+
+
+@query()
+def page_documents(spark, sf_dir):
+    return html.page_documents(table(spark, sf_dir, "pages"), NOW)
+
+
+@query()
+def page_media(spark, sf_dir):
+    return html.page_media(table(spark, sf_dir, "pages"), NOW)
+
+
+# The store.
+@query(_web_sql("SELECT id, title, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'new ' || source ELSE source END AS source FROM web"))
+def upsert_latest(spark, sf_dir):
+    docs = web(spark, sf_dir)
+    third = docs.where(F.col("id").cast("long") % 3 == 0)
+    new = third.withColumn("seq", F.lit(1)).unionByName(third.withColumn("source", F.concat(F.lit("new "), "source")).withColumn("seq", F.lit(2)))
+    return index.upsert(docs, new).select("id", "title", "source")
+
+
+@query(_web_sql("SELECT id FROM web WHERE NOT (source = 'src1' AND regexp_extract(url, '^https?://([^/?#]+)', 1) = 'src1.example.com')"))
+def remove_by_host(spark, sf_dir):
+    return index.clear_by(web(spark, sf_dir), "src1", "src1.example.com", text.host_of).select("id")
