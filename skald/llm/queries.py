@@ -76,12 +76,12 @@ ORACLES = {
         FROM l LEFT JOIN h ON l.doc_id = h.doc_id""",
     "op9_substrings": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-        s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
-        k AS (SELECT s.doc_id, s.i, row_number() OVER (PARTITION BY array_to_string(list_slice(w, s.i, s.i + 19), ' ') ORDER BY s.doc_id, s.i) > 1 AS later
-              FROM s JOIN d ON s.doc_id = d.doc_id),
-        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM k WHERE later),
-        h AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
-        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-               sha256(coalesce(array_to_string([x FOR x, j IN w IF NOT list_contains(coalesce(gone, []), j)], ' '), '')) AS kept_sha256
+        t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+        s AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER o AS win, count(*) OVER o AS n FROM t
+              WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+        k AS (SELECT doc_id, i, word, n = 20 AND row_number() OVER (PARTITION BY n, win ORDER BY doc_id, i) > 1 AS later FROM s),
+        g AS (SELECT doc_id, i, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM k),
+        h AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN h ON d.doc_id = h.doc_id""",
 }

@@ -162,7 +162,8 @@ def bucket_keys(fp: Column, radius: int) -> Column:
 def links(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """``a, b``: links among distinct fingerprints that connect every component."""
     rows = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), radius)).alias("key")).select("fp", "key.t", "key.bits")
-    sizes = rows.groupBy("t", "bits").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / bucket).cast("int"))
+    # Written first: a join fed by shuffles alone can be split where a bucket is hot.
+    sizes = materialize(rows.groupBy("t", "bits").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / bucket).cast("int")))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     # A member of a split bucket goes to the groups of its sub-block with each sub-block.
