@@ -38,33 +38,26 @@ def index_tokens(c: Column, lang: Column) -> Column:
     return F.when(lang == "en", F.filter(words, lambda t: ~t.isin(*STOPWORDS))).otherwise(words)
 
 
-def _undoubled(base: Column) -> Column:
-    n = F.length(base)
-    return F.when((n >= 2) & (F.substr(base, n, F.lit(1)) == F.substr(base, n - 1, F.lit(1))), F.substr(base, F.lit(1), n - 1)).otherwise(base)
-
-
-def _without(c: Column, n: int) -> Column:
-    return F.substr(c, F.lit(1), F.length(c) - n)
-
-
-def stem_plural(t: Column) -> Column:
-    """First step of the stemmer: plural endings."""
-    cut = F.when((F.length(t) > 3) & t.endswith("es") & _without(t, 2).rlike("(s|x|z|ch|sh)$"), _without(t, 2)).otherwise(t)
-    return F.when((F.length(cut) > 3) & cut.rlike("[^s]s$"), _without(cut, 1)).otherwise(cut)
+#: The stemmer's steps. ``!`` marks a finished stem and ``#`` a cut ending; tokens have neither sign.
+STEM_STEPS = (
+    ("^(.{2,})ies$", "$1y!"), ("^(.+ss)es$", "$1!"), ("^(.{1,3})$", "$1!"),
+    ("^(.+)(?<=s|x|z|ch|sh)es$", "$1"), ("^(.{2,}[^s])s$", "$1"),
+    ("^(.{3,})ing$", "$1#"), ("^([^#]{3,})ed$", "$1#"), (r"(.)\1#$", "$1"), ("[!#]$", ""),
+)
 
 
 def stem(t: Column) -> Column:
-    """Light English stemmer over a token column (explode first: no lambdas here)."""
-    s = stem_plural(t)
-    ending = F.when(s.endswith("ing") & (F.length(s) > 5), _undoubled(_without(s, 3))).when(s.endswith("ed") & (F.length(s) > 4), _undoubled(_without(s, 2))).otherwise(s)
-    return F.when(F.length(t) <= 3, t).when(t.endswith("ies") & (F.length(t) > 4), F.concat(_without(t, 3), F.lit("y"))).when(t.endswith("sses") & (F.length(t) > 4), _without(t, 2)).otherwise(ending)
+    """Light English stemmer. Every step refers once to the one before it, so that the expression
+    stays small wherever the optimizer copies it (a filter pushed below a projection, say)."""
+    for pattern, to in STEM_STEPS:
+        t = F.regexp_replace(t, pattern, to)
+    return t
 
 
 def exploded_tokens(docs: DataFrame, text: str, lang: str = "lang", *keep: str) -> DataFrame:
     """One row per token of ``text``: ``keep``, ``pos`` (after stopwords went) and the stemmed ``token``."""
     rows = docs.select(*keep, F.col(lang).alias("_lang"), F.posexplode(index_tokens(F.col(text), F.col(lang))).alias("pos", "_raw"))
-    stemmed = F.when(F.col("_lang") == "en", stem(F.col("_raw"))).otherwise(F.col("_raw"))
-    return rows.select(*keep, "pos", stemmed.alias("token")).where("token <> ''")
+    return rows.select(*keep, "pos", F.when(F.col("_lang") == "en", stem(F.col("_raw"))).otherwise(F.col("_raw")).alias("token"))
 
 
 def host_of(url: Column) -> Column:

@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skald.functions.text import exploded_tokens, raw_tokens
+from skald.functions.text import index_tokens, raw_tokens, stem
 
 FIELDS = ("title", "snippet", "body", "url", "headings")
 COLUMNS = ("id", "title", "url", "snippet", "body", "headings", "source", "date", "lang")
 
 
 def tokens_of(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """``id, field, pos, token``: every token of every field; addresses keep all their words."""
-    parts = []
-    for name in fields:
-        if name == "url":
-            rows = docs.select("id", F.posexplode(raw_tokens(F.col("url"))).alias("pos", "token"))
-        else:
-            rows = exploded_tokens(docs, name, "lang", "id")
-        parts.append(rows.select("id", F.lit(name).alias("field"), "pos", "token"))
-    return reduce(DataFrame.unionByName, parts)
+    """``id, field, pos, token``: every token of every field; addresses keep all their words.
+
+    The fields are exploded together, so that the table is read and stemmed in one pass."""
+    words = [F.struct(F.lit(f).alias("field"), (raw_tokens(F.col(f)) if f == "url" else index_tokens(F.col(f), F.col("lang"))).alias("words")) for f in fields]
+    rows = docs.select("id", "lang", F.explode(F.array(*words)).alias("f")).select("id", "lang", F.col("f.field").alias("field"), F.posexplode("f.words").alias("pos", "raw"))
+    stemmed = (F.col("lang") == "en") & (F.col("field") != "url")
+    return rows.select("id", "field", "pos", F.when(stemmed, stem(F.col("raw"))).otherwise(F.col("raw")).alias("token"))
 
 
 def postings(docs: DataFrame) -> DataFrame:

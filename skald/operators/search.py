@@ -76,6 +76,10 @@ def scores(docs: DataFrame, q: Parsed, settings: Settings, tf: DataFrame | None
     return both.select("id", F.when(n > 0, s / F.sqrt(n)).otherwise(s).alias("score"))
 
 
+def _has(part: str):
+    return lambda x: x.contains(part)
+
+
 def boosts(docs: DataFrame, found: DataFrame, q: Parsed) -> DataFrame | None:
     """``id, boost`` of phrases and travel intents, over candidates only."""
     parts: list[Column] = []
@@ -86,7 +90,7 @@ def boosts(docs: DataFrame, found: DataFrame, q: Parsed) -> DataFrame | None:
         lines = joined.groupBy("id").agg(F.collect_list(F.concat(F.lit(" "), "line", F.lit(" "))).alias("lines"))
         rows = docs.join(lines, "id", "left")
         for phrase, words in phrases:
-            exact = F.exists(F.coalesce("lines", F.array().cast("array<string>")), lambda x, w=words: x.contains(f" {' '.join(w)} "))
+            exact = F.exists(F.coalesce("lines", F.array().cast("array<string>")), _has(f" {' '.join(words)} "))
             parts.append(F.when(exact, 2.0).when(F.contains(whole_text(), F.lit(phrase.lower())), 0.5).otherwise(0.0))
     for some, every, value in q.intents:
         text = whole_text()

@@ -12,14 +12,14 @@ from skald.operators import crawl, expand, index, search
 from skald.operators.highlight import highlighted
 from skald.operators.query import parse
 from skald.plans import oracles as sql
-from skald.plans.corpora import NOW, parts, table, web
+from skald.plans.corpora import NOW, frequencies, parts, table, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SYNONYMS = {"red": ["blue", "hot"], "thin": ["that", "ring"]}
 PRIORS = {"src0": 1.5, "src1": 0.5, "3": 1.2}
 #: Query texts over ``documents`` and over ``part``.
-TERM, PAIR, PART = "estion", "the thin reand", "ring widget"
+TERM, PAIR, PART = "thon", "the thin reand", "ring widget"
 
 
 def query(oracle: str | None = None):
@@ -37,7 +37,7 @@ def hits(rows: DataFrame, n: int = 10) -> DataFrame:
 
 
 def _searching(name: str, docs, docs_sql: str, q: str, boost: str = "0.0", settings: search.Settings | None = None, n: int = 10) -> None:
-    QUERIES[name] = lambda spark, sf_dir: hits(search.search(docs(spark, sf_dir), q, settings), n)
+    QUERIES[name] = lambda spark, sf_dir: hits(search.search(docs(spark, sf_dir), q, settings, frequencies(spark, sf_dir, docs.__name__)), n)
     ORACLES[name] = sql.top(sql.search(parse(q), docs_sql, settings, boost), n)
 
 
@@ -65,7 +65,7 @@ _searching("search_fuzzy", parts, sql.PARTS, "widgot")
 _searching("search_parts_and", parts, sql.PARTS, PART, n=50)
 _searching("search_synonyms", parts, sql.PARTS, "red", settings=search.Settings(synonyms=SYNONYMS), n=50)
 _searching("domain_prior", web, sql.WEB, TERM, settings=search.Settings(priors=PRIORS), n=50)
-_searching("search_phrase", parts, sql.PARTS, '"ring widget"', _phrase(("ring widget", "r widget")).replace("' r widget '", "' ring widget '"), n=50)
+_searching("search_phrase", parts, sql.PARTS, '"ring widget"', _phrase(("ring widget", "ring widget")), n=50)
 _searching("search_phrase_and_term", parts, sql.PARTS, 'widget "red ring"', _phrase(("red ring", "red ring")), n=50)
 _searching("phrase_substring_fallback", parts, sql.PARTS, '"d ri"', _phrase(("d ri", "ri")), n=50)
 _searching("search_all_docs", parts, sql.PARTS, "zzzzqq")
@@ -77,7 +77,7 @@ _RES = sql.search(parse(TERM), sql.WEB)
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(web(spark, sf_dir), TERM)
+    return search.search(web(spark, sf_dir), TERM, tf=frequencies(spark, sf_dir, "web"))
 
 
 def _on_results(name: str, f, oracle: str) -> None:
@@ -146,7 +146,7 @@ def postings_tf(spark, sf_dir):
 
 @query(f"{_TOK}, {sql.TF} SELECT token, df FROM df")
 def doc_freq(spark, sf_dir):
-    return index.document_frequencies(index.frequencies(web(spark, sf_dir)))
+    return index.document_frequencies(frequencies(spark, sf_dir, "web"))
 
 
 @query(f"{_TOK} SELECT DISTINCT token FROM tok")
@@ -173,7 +173,7 @@ _VOCAB = f"WITH {sql.PARTS}, {sql.all_tokens()}, {sql.TF}"
 
 
 def _expansion(name: str, asked: list[str], synonyms: dict | None = None, **switches) -> None:
-    QUERIES[name] = lambda spark, sf_dir: expand.expand(index.document_frequencies(index.frequencies(parts(spark, sf_dir))), asked, synonyms, **switches)
+    QUERIES[name] = lambda spark, sf_dir: expand.expand(index.document_frequencies(frequencies(spark, sf_dir, "parts")), asked, synonyms, **switches)
     ORACLES[name] = f"{_VOCAB}, {sql.variants(asked, synonyms)} SELECT q_token, token, mult FROM var"
 
 
@@ -186,14 +186,14 @@ _expansion("expand_priority", ["red", "ring", "blu", "ho"], {"red": ["red", "red
 # Transport fields, fallback.
 @query(sql.top(sql.search(parse("ring"), sql.PARTS), 30, where="lower(m_from) = 'port3' AND lower(m_to) = 'port1' AND contains(m_depart, '2024-03')"))
 def transport_meta_filter(spark, sf_dir):
-    found = search.search(parts(spark, sf_dir), "ring")
+    found = search.search(parts(spark, sf_dir), "ring", tf=frequencies(spark, sf_dir, "parts"))
     return hits(search.filtered(found, meta={"from": " PORT3", "to": "port1", "depart": "2024-03"}), 30)
 
 
 @query(sql.top(sql.search(parse("ring"), sql.PARTS), 20))
 def news_fallback(spark, sf_dir):
-    none = search.search(web(spark, sf_dir), "qqqqzzzz")
-    other = search.search(parts(spark, sf_dir), "ring").drop("meta")
+    none = search.search(web(spark, sf_dir), "qqqqzzzz", tf=frequencies(spark, sf_dir, "web"))
+    other = search.search(parts(spark, sf_dir), "ring", tf=frequencies(spark, sf_dir, "parts")).drop("meta")
     return hits(search.with_fallback(none, other.select(none.columns)), 20)
 
 

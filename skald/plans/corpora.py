@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+from skald.operators import index
 
 NOW = "2024-06-01T00:00:00Z"
 
@@ -26,3 +29,17 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("p_partkey").cast("string")
     meta = F.create_map(F.lit("from"), F.concat(F.lit("Port"), F.pmod("p_partkey", F.lit(7))), F.lit("to"), F.concat(F.lit("Port"), F.pmod("p_partkey", F.lit(5))), F.lit("depart"), F.concat(F.lit("2024-03-0"), F.pmod("p_partkey", F.lit(9)) + 1))
     return table(spark, sf_dir, "part").select(number.alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("https://parts.example.com/"), number).alias("url"), F.col("p_type").alias("snippet"), F.lit("").alias("body"), F.lit("").alias("headings"), F.col("p_brand").alias("source"), F.lit("2024-01-01").alias("date"), F.lit("en").alias("lang"), meta.alias("meta"))
+
+
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def frequencies(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The index of a vertical, built once for each session and input and then read by every query.
+
+    It is persisted to memory and disk: lost partitions are computed again from the input."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _BUILT:
+        docs = {"web": web, "parts": parts}[kind](spark, sf_dir)
+        _BUILT[key] = index.frequencies(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    return _BUILT[key]
