@@ -140,7 +140,7 @@ def json_ld_videos(raw: DataFrame, column: str, now: str) -> DataFrame:
     def text(path: str) -> Column:
         return F.trim(F.coalesce(F.try_variant_get("v", path, "string"), F.lit("")))
 
-    types = F.coalesce(F.expr("try_variant_get(v, '$.[\"@type\"]', 'array<string>')"), F.array(F.expr("try_variant_get(v, '$.[\"@type\"]', 'string')")))
+    types = F.coalesce(F.expr("try_variant_get(v, '$[\"@type\"]', 'array<string>')"), F.array(F.expr("try_variant_get(v, '$[\"@type\"]', 'string')")))
     items = items.where(F.exists(types, lambda t: F.lower(F.trim(t)) == "videoobject"))
     thumbs = F.coalesce(F.expr("try_variant_get(v, '$.thumbnailUrl', 'array<string>')"), F.array(text("$.thumbnailUrl")))
     first = F.coalesce(F.get(F.filter(thumbs, lambda t: t != ""), F.lit(0)), F.lit(""))
