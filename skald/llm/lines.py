@@ -61,9 +61,12 @@ def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVEL
     island = Window.partitionBy("doc_id", "th").orderBy("i")
     fresh = marks.withColumn("fresh", F.coalesce(F.col("i") > F.max("end").over(before), F.lit(True)).cast("int"))
     runs = fresh.withColumn("run", F.sum("fresh").over(island)).groupBy("doc_id", "th", "run").agg(F.min("i").alias("a"), F.max("end").alias("b"))
-    gone = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("gone"), F.sum(F.col("b") - F.col("a")).alias("removed")).select(F.col("doc_id").alias("gone_id"), "th", "gone", "removed")
-    columns = docs.columns
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("gone", lambda g: (i >= g["a"]) & (i < g["b"]))), "\n")
-    joined = docs.alias("d").join(gone, F.col("d.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("d.text") == F.col("th")), "left")
-    total = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
-    return joined.select(*(F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in columns), total.alias("n_lines"), F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"))
+    intervals = F.collect_list(F.struct("a", "b")).alias("skald_gone")
+    # The added columns have names of their own, so that columns of ``docs`` never clash with them.
+    gone = runs.groupBy("doc_id", "th").agg(intervals, F.sum(F.col("b") - F.col("a")).alias("skald_removed")).select(F.col("doc_id").alias("skald_id"), F.col("th").alias("skald_th"), "skald_gone", "skald_removed")
+    text = F.col("skald_docs.text")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("skald_gone", lambda g: (i >= g["a"]) & (i < g["b"]))), "\n")
+    joined = docs.alias("skald_docs").join(gone, F.col("skald_docs.doc_id").eqNullSafe(F.col("skald_id")) & (F.xxhash64(text) == F.col("skald_th")), "left")
+    total = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    columns = [F.when(F.col("skald_gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"skald_docs.`{c}`") for c in docs.columns]
+    return joined.select(*columns, total.alias("n_lines"), F.coalesce("skald_removed", F.lit(0)).cast("long").alias("n_removed"))
