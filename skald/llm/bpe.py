@@ -43,7 +43,7 @@ LONG = 512
 #: Pieces that one series of rounds merges: their arrays stay in the processor's cache.
 ROUND_WORDS = 4000
 #: Pieces whose ids are kept; a full table is emptied.
-CACHE = 1_500_000
+CACHE = 800_000
 
 
 def default_path() -> str:
@@ -324,5 +324,19 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, ids, decoded``: both steps in one worker, which holds the tokenizer once."""
+    path = path or default_path()
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = opened(path)
+        for rows, texts in text_slices(batches, budget=700_000):
+            ids = bpe.encode(texts)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], schema=schema)
+
+    return whole_text(docs).mapInArrow(run, "doc_id long, ids binary, decoded string")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

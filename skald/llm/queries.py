@@ -26,7 +26,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encode_and_decode(table(spark, sf_dir, "documents")))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,7 @@ def test_bpe_and_digests(docs, rows, library, empty):
     t = Tokenizer.from_file(bpe.default_path())
     want = sorted(((i, len(ids := library(x)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()) for i, x in rows), key=key)
     assert got == want
+    assert sorted(map(tuple, bpe.digests(bpe.encode_and_decode(docs)).collect()), key=key) == want
     assert bpe.decode_documents(bpe.encode_documents(empty)).count() == 0
 
 
