@@ -7,7 +7,9 @@ distance. The bound is taken from coarse to fine: pairs that stay below the quer
 score so far leave after each level, and the exact integer product is computed for survivors.
 
 Queries and candidates are cut into blocks of bounded size and every query block meets every
-candidate block in its own group, so no side is broadcast and no task grows with the input.
+candidate block in its own group, so no side is broadcast and no task grows with the input. Rows
+are dealt by their place in the input, not by vec_id, so that a vec_id that many rows share fills
+no single block.
 
 Defined results: components become floor(64 * x); vectors that are null or hold a null or
 non-finite component, and rows without vec_id, take no part; a query meets vectors of its own
@@ -24,17 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 512
+#: A pair of blocks costs 8 bytes a score and gives k rows a query: wide candidate blocks send less on.
+QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 #: Candidates of a block that are scored in full first, to give each query a k-th best score to beat.
-FIRST = 64
+FIRST = 256
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """``vec_id, dim, v``: the integer components of every vector that takes part."""
+    """``vec_id, seq, dim, v``: the integer components of every vector that takes part, ``seq`` telling equal rows apart."""
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     good = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
-    return good.select("vec_id", F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(c.cast("double") * 64).cast("double")).alias("v"))
+    return good.select("vec_id", F.monotonically_increasing_id().alias("seq"), F.size(x).alias("dim"), F.transform(x, lambda c: F.floor(c.cast("double") * 64).cast("double")).alias("v"))
 
 
 def segment_bounds(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -66,10 +69,13 @@ def block_top(queries: np.ndarray, candidates: np.ndarray, same: np.ndarray, ord
     keep = np.flatnonzero(alive.any(0))
     exact = queries @ rest[keep].T
     scores[:, first + keep] = np.where(alive[:, keep], exact, -np.inf)
-    top = np.argsort(-scores, 1, kind="stable")[:, :k]
-    best = np.take_along_axis(scores, top, 1)
-    row, column = np.nonzero(best > -np.inf)
-    return row, top[row, column], best[row, column]
+    least = np.partition(scores, m - k, 1)[:, m - k] if m > k else np.full(n, -np.inf)
+    row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    best = scores[row, column]
+    ranked = np.lexsort((column, -best, row))
+    row, column, best = row[ranked], column[ranked], best[ranked]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[top], column[top], best[top]
 
 
 def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
@@ -82,20 +88,19 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     def dealt(side: DataFrame, own: str, other: str, tag: int) -> DataFrame:
         # Rows deal themselves to the blocks of their own side, and go to all blocks of the other side.
         placed = side.join(F.broadcast(blocks), "dim")  # a row for each dimension that occurs
-        mine = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int").alias(own[0])
-        return placed.select("dim", "vec_id", "v", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]), F.lit(tag).alias("tag")).select("dim", "q", "c", "tag", "vec_id", "v")
+        mine = F.pmod(F.xxhash64("seq"), F.col(own)).cast("int").alias(own[0])
+        return placed.select("dim", "vec_id", "seq", "v", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]), F.lit(tag).alias("tag")).select("dim", "q", "c", "tag", "vec_id", "seq", "v")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["tag", "vec_id"], kind="stable")
+        rows = rows.sort_values(["tag", "vec_id", "seq"], kind="stable")
         q, c = rows[rows.tag == 0], rows[rows.tag == 1]
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "seq": [], "vec_id": [], "score": []}).astype("int64")
         qid, cid = q.vec_id.to_numpy(), c.vec_id.to_numpy()
         a, b = (np.stack(x.v.to_numpy()) if len(x.v.iloc[0]) else np.zeros((len(x), 1)) for x in (q, c))
         row, column, score = block_top(a, b, qid[:, None] == cid[None, :], cid, k)
-        same = q.groupby("vec_id").cumcount().to_numpy()
         bounded = np.clip(score, -(2.0**63), np.nextafter(2.0**63, 0)).astype(np.int64)
-        return pd.DataFrame({"query_id": qid[row], "seq": same[row], "vec_id": cid[column], "score": bounded})
+        return pd.DataFrame({"query_id": qid[row], "seq": q.seq.to_numpy()[row], "vec_id": cid[column], "score": bounded})
 
     both = dealt(queries, "qn", "cn", 0).unionByName(dealt(vectors, "cn", "qn", 1))
     found = both.groupBy("dim", "q", "c").applyInPandas(run, "query_id long, seq long, vec_id long, score long")

@@ -125,6 +125,18 @@ def test_topk(spark):
     assert topk.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_with_a_frequent_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 32)
+    rng = np.random.default_rng(4)
+    v = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(150)] + [(40, [1.0] * 6)] * 70
+    frame = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(map(tuple, topk.search(frame, F.col("vec_id") % 20 == 0, k=7).collect()))
+    good = [(i, (64 * np.array(x)).astype(int)) for i, x in v]
+    want = [(q, n + 1, i, -s) for q, a in good if q % 20 == 0 for n, (s, i) in enumerate(sorted((-int(a @ b), i) for i, b in good if i != q)[:7])]
+    assert got == sorted(want)
+
+
 def test_simhash(docs, rows, empty):
     got = simhash.near_duplicates(docs).collect()
     prints = {x: simhash.fingerprint(x or "") for _, x in rows}
