@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skald.functions import html, text
-from skald.operators import crawl, expand, index, search
+from skald.operators import crawl, expand, index, results, search
 from skald.operators.highlight import highlighted
 from skald.operators.query import parse
 from skald.plans import oracles as sql
@@ -96,6 +96,9 @@ _on_results("diversify_top3", lambda r: hits(search.diversified(r), 100), sql.to
 _on_results("page_2", lambda r: search.page_of(search.diversified(r), 2).select("id", F.round("score", 6).alias("score")), sql.top(_RES, 10, 10, per_source=3))
 _on_results("total_after_diversification", lambda r: search.diversified(r).agg(F.count("*").alias("n")), f"{_RES} SELECT count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY source ORDER BY {sql.ORDER}) AS k FROM res) WHERE k <= 3")
 _on_results("escape_html", lambda r: search.page_of(r).select("id", text.escape_html(F.col("snippet")).alias("escaped")), f"{_RES} SELECT id, replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM (SELECT * FROM res ORDER BY {sql.ORDER} LIMIT 10)")
+_on_results("results_images", lambda r: results.results(r, "images", TERM), f"{_RES}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {sql.ORDER}) AS k FROM res) WHERE k <= 3) SELECT title, snippet AS \"thumbnailUrl\", url AS \"imageUrl\", source FROM p ORDER BY {sql.ORDER} LIMIT 30")
+for _kind in ("all", "news", "videos"):
+    QUERIES[f"results_{_kind}"] = lambda spark, sf_dir, kind=_kind: results.results(_results(spark, sf_dir), kind, TERM)
 QUERIES["highlight"] = lambda spark, sf_dir: search.page_of(_results(spark, sf_dir)).select("id", highlighted(F.col("snippet"), TERM).alias("marked"))
 
 

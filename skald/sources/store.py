@@ -42,6 +42,39 @@ def export_json(docs: DataFrame, path: str) -> None:
     docs.select(*(F.col(n.lower()).alias(n) for n in names)).write.mode("overwrite").json(path)
 
 
+def save_frontier(queue: DataFrame, seen: DataFrame, path: str) -> None:
+    """A crawl's state: ``queue`` (url, depth) and ``seen`` (url). Write to another folder than the one it was read from."""
+    queue.select("url", F.col("depth").cast("int").alias("depth")).write.mode("overwrite").parquet(f"{path}/queue")
+    seen.select("url").distinct().write.mode("overwrite").parquet(f"{path}/seen")
+
+
+def load_frontier(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``queue`` and ``seen`` as they were saved."""
+    return spark.read.schema("url string, depth int").parquet(f"{path}/queue"), spark.read.schema("url string").parquet(f"{path}/seen")
+
+
+def import_frontier(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same from the interchange file ``{"queue": [{"u", "depth"}], "seen": [...]}``."""
+    state = spark.read.schema("queue array<struct<u: string, depth: int>>, seen array<string>").option("multiLine", True).json(path)
+    queue = state.select(F.explode("queue").alias("q")).select(F.coalesce("q.u", F.lit("")).alias("url"), F.coalesce("q.depth", F.lit(0)).alias("depth"))
+    return queue, state.select(F.explode("seen").alias("url"))
+
+
+SETTINGS_SCHEMA = "synonyms map<string,array<string>>, priors map<string,double>, weights map<string,double>"
+
+
+def save_settings(spark: SparkSession, path: str, synonyms: dict | None = None, priors: dict | None = None, weights: dict | None = None) -> None:
+    """Synonyms and priors, normalized, and field weights: one row of JSON."""
+    row = spark.createDataFrame([(synonyms or {}, priors or {}, weights or {})], SETTINGS_SCHEMA)
+    row.select(normalized_synonyms(F.col("synonyms")).alias("synonyms"), normalized_priors(F.col("priors")).alias("priors"), "weights").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_settings(spark: SparkSession, path: str) -> dict[str, dict]:
+    """Those settings that are set, as keyword arguments of ``search.Settings``."""
+    row = spark.read.schema(SETTINGS_SCHEMA).json(path).first()
+    return {k: v for k, v in row.asDict().items() if v} if row else {}
+
+
 def normalized_synonyms(m: Column) -> Column:
     """Keys and values trimmed and lower-cased, blanks dropped."""
     tidy = F.transform_values(m, lambda k, v: F.filter(F.transform(v, lambda x: F.lower(F.trim(x))), lambda x: x != ""))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skald.functions import html, text
-from skald.operators import crawl, index, search
+from skald.operators import crawl, index, results, search
 from skald.operators.highlight import mark
 from skald.operators.query import parse, stem_word, tokens
 from skald.sources import store
@@ -109,6 +109,30 @@ def test_store_and_upsert(spark, docs, tmp_path):
     assert {r.id: r.title for r in index.upsert(docs, new).collect()}["d1"] == "new"
 
 
+def test_result_layouts(spark):
+    doc = [("1", "A &amp; B", "https://ex.com/1", "red <b>ring</b> &lt;", "thumb", "s", {"from": "x"}, 2.0, None), ("2", None, "https://ex.com/2", None, "", "s", None, 1.0, None)]
+    found = spark.createDataFrame(doc, "id string, title string, url string, snippet string, body string, source string, meta map<string,string>, score double, date_ts timestamp")
+    rows = {k: results.results(found, k, "ring").collect() for k in ("all", "news", "images", "videos", "transport")}
+    a = rows["all"][0]
+    assert (a.title, a.snippet, a.snippetPlain) == ("A & B", a.snippetHtml, "red <b>ring</b> <")
+    assert "<mark>" in a.snippetHtml and "<b>" not in a.snippetHtml
+    assert rows["news"][0].snippet == a.snippetPlain and [r.title for r in rows["all"]] == ["A & B", ""]
+    assert tuple(rows["images"][0]) == ("A &amp; B", "red <b>ring</b> &lt;", "https://ex.com/1", "s")
+    assert (rows["videos"][0].duration, rows["videos"][0].thumbnailUrl) == ("red <b>ring</b> &lt;", "thumb")
+    assert rows["transport"][0].meta == {"from": "x"}
+    assert results.results(found, "all", "ring", 2).count() == 0 and results.results(found, "videos", "ring", per_source=1).count() == 1
+
+
+def test_frontier_and_settings(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps({"queue": [{"u": "https://ex.com", "depth": 2}], "seen": ["a", "b"], "lastRun": "x"}, indent=1))
+    queue, seen = store.import_frontier(spark, str(tmp_path / "f.json"))
+    store.save_frontier(queue, seen.union(seen), str(tmp_path / "f"))
+    queue, seen = store.load_frontier(spark, str(tmp_path / "f"))
+    assert [tuple(r) for r in queue.collect()] == [("https://ex.com", 2)] and sorted(r.url for r in seen.collect()) == ["a", "b"]
+    store.save_settings(spark, str(tmp_path / "s"), synonyms={" Red ": [" Blue", ""]}, priors={"EX.com": 1.5, "no": 0.0})
+    assert store.load_settings(spark, str(tmp_path / "s")) == {"synonyms": {"red": ["blue"]}, "priors": {"ex.com": 1.5}}
+
+
 def test_streaming_ingest(spark, tmp_path):
     for k in range(2):
         spark.createDataFrame([(k, f"https://ex.com/{k}", f"<title>T{k}</title>"), (9, "https://ex.com/9", f"<title>V{k}</title>")], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
