@@ -25,9 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class."""
-    classes = simhash.near_duplicates(docs, words=4, radius=4)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    """The document with the smallest doc_id of each class of five-word Jaccard 0.8 or more."""
+    keep = simhash.first_of_classes(docs, words=5, similarity=0.8)
     return docs.join(keep, docs.doc_id.eqNullSafe(keep.kept), "left_semi")
 
 

@@ -247,3 +247,39 @@ def test_quality(spark, empty):
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 50 and [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "secret_scan", "best_fit_packing"]
+
+
+def test_near_dedup_by_similarity(spark):
+    """Pairs of Jaccard 0.8 lie about ten bits apart; every class must be found, and pairs below 0.8 kept apart."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(rng.randint(3, 9)))
+    made = [None, "", " \n"]
+    for _ in range(60):
+        own = [word() for _ in range(rng.randint(60, 200))]
+        for changed in (0, 0, rng.randint(1, 4), rng.randint(1, 8)):
+            copy = list(own)
+            for _ in range(changed):
+                copy[rng.randrange(len(copy))] = word()
+            made.append(" ".join(copy))
+    order = list(range(len(made)))
+    rng.shuffle(order)
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in made]
+    root = list(range(len(made)))
+    linked = 0
+    for a in range(len(made)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                linked += sets[a] != sets[b]
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {min(i for i, r in zip(order, root, strict=True) if r == c) for c in set(root)}
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(order, made, strict=True)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert linked > 40 and {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == want
+    split = simhash.verified_links(frame, *_sketched(spark, frame), 5, 0.8, group=8)
+    assert simhash.components(split).count() == len(set(sets)) - len({root[i] for i in range(len(made))})
+
+
+def _sketched(spark, frame):
+    """All shingle sets as one candidate class, to be split over workers."""
+    distinct = simhash.sketches(frame, 5).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")).cache()
+    first = distinct.agg(F.min("node")).first()[0]
+    return distinct, distinct.where(F.col("node") != first).select("node", F.lit(first).alias("root"))
