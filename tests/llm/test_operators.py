@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -283,3 +284,25 @@ def _sketched(spark, frame):
     distinct = simhash.sketches(frame, 5).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")).cache()
     first = distinct.agg(F.min("node")).first()[0]
     return distinct, distinct.where(F.col("node") != first).select("node", F.lit(first).alias("root"))
+
+
+@pytest.mark.parametrize(("text", "clean"), [("x password: hunter2A!x9#Qw ok", "x [SECRET] ok"), ("my token: aB3dE5fG hI7jK9lM nO1pQ3rS ends", "my [SECRET] ends"), ("a password=abcdef123456 b", "a [SECRET] b")])
+def test_secrets_beyond_base_spans(text, clean):
+    spans = secrets.all_spans(text, secrets.trained())
+    assert secrets.redacted(text, spans) == clean and set(secrets.base_spans(text)) <= set(spans)
+
+
+def test_stretches_decode_like_the_whole_text():
+    field, rng = secrets.trained(), random.Random(6)
+    for _ in range(1500):
+        tokens = [t for _ in range(3) for t in secrets._sentence(rng)[0] + rng.choices(["passphrase", "tokens", "secretly", "keys", "and", "of"], k=rng.randint(0, 4))]
+        text = "".join(t + rng.choice([" ", " ", "\n", " " * 500]) for t in tokens)
+        places = [m.span() for m in re.finditer(r"\S+", text)]
+        labels = field.decode(secrets.observations([text[a:b] for a, b in places]), secrets.file_features(text, len(secrets._UNUSUAL.findall(text))))
+        want = []
+        for k, ((a, b), label) in enumerate(zip(places, labels, strict=True)):
+            if label == secrets.BEGIN or label == secrets.INSIDE and (k == 0 or labels[k - 1] == secrets.OUTSIDE):
+                want.append((a, b))
+            elif label == secrets.INSIDE:
+                want[-1] = (want[-1][0], b)
+        assert field.spans(text) == [secrets._trimmed(text, a, b) for a, b in want]
