@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; ``n_chars`` is counted anew."""
-    kept = lines.deduplicate(docs).drop("n_lines", "n_removed")
+    """Documents without later copies of repeated line runs of any length; ``n_chars`` is counted anew."""
+    kept = lines.deduplicate(docs, levels=None).drop("n_lines", "n_removed")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select([c for c in docs.columns if c not in ("n_lines", "n_removed")])
 
 

@@ -5,8 +5,11 @@ line and ``2**k`` lines on, over range partitions, and numbers them in that orde
 suffix by its first ``2**(k+1)`` lines. Suffixes with one rank are an interval of the suffix array
 whose longest common prefix is at least so long; a rank that occurs once is settled and leaves.
 In each interval, all but the earliest suffix (document, then line) mark a repeated run of
-``2**k`` lines; it counts if it has at least ``min_chars`` characters. Longer maximal runs are the
-union of these. Marked lines are deleted. DataFrame functions only.
+``2**k`` lines; it counts if it has at least ``min_chars`` characters. A longer run whose parts of
+1, 2, 4, 8 and 16 lines are all shorter than ``min_chars`` does not count by this rule, which is
+that of ``op3_line_dedup``'s SQL. Marked lines are deleted. DataFrame functions only.
+
+``levels=None`` counts runs of any number of lines (``repeated_windows``).
 
 Defined results: null text is empty; a text is cut at line feeds; lines are compared without
 leading and trailing spaces, tabs and carriage returns; a short line alone never counts, within a
@@ -17,7 +20,7 @@ a null doc_id comes first; empty tables give none; further columns pass unchange
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skald.llm.shared import materialize, partitions
@@ -53,10 +56,47 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEV
     return marks
 
 
-def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVELS) -> DataFrame:
+def repeated_windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, th, i, size``: runs that occur earlier and together cover every such run of at least ``min_chars``.
+
+    From each line the shortest run of ``min_chars`` characters that begins there and the shortest
+    that ends there are grouped by content. In a run that occurs earlier, each line is in one of
+    these that lies inside the run: in the one ending at the line if the run has ``min_chars`` up to
+    there, else in the one beginning where the run does. So their union is that of the maximal runs.
+    Lines without characters are leading or trailing counts; the others in a window are at most
+    ``min_chars``, however long the run is."""
+    line = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
+    split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines")).select("doc_id", "th", F.size("lines").cast("long").alias("many"), F.posexplode("lines").alias("i", "line"))
+    full = split.withColumn("line", line).where(F.length("line") > 0)
+    rows = full.select("doc_id", "th", "many", F.col("i").cast("long").alias("i"), F.length("line").cast("long").alias("chars"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(7), "line").alias("y")).distinct()
+    at = Window.partitionBy("doc_id", "th").orderBy("i")
+    rows = rows.withColumn("upto", F.sum("chars").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.struct("i", "x", "y", "upto", (F.col("upto") - F.col("chars")).alias("from"))
+    rows = rows.select("doc_id", "th", "i", "chars", "upto", (F.col("upto") - F.col("chars")).alias("from"), (F.col("i") - F.coalesce(F.lag("i").over(at), F.lit(-1)) - 1).alias("above"), (F.coalesce(F.lead("i").over(at), F.col("many")) - F.col("i") - 1).alias("below"), F.collect_list(held).over(at.rowsBetween(0, min_chars - 1)).alias("ahead"), F.collect_list(held).over(at.rowsBetween(1 - min_chars, 0)).alias("behind"))
+    ahead, behind = F.filter("ahead", lambda e: e["from"] - F.col("from") < min_chars), F.filter("behind", lambda e: F.col("upto") - e["upto"] < min_chars)
+
+    def windows(part: Column, enough: Column, blank: Column, way: int) -> DataFrame:
+        key = F.transform(part, lambda e: F.struct((e["i"] - F.col("i")).alias("at"), e["x"], e["y"]))
+        ends = rows.where(enough).select("doc_id", "th", F.col("i").alias("own"), F.get(part, F.lit(0))["i"].alias("a"), F.element_at(part, -1)["i"].alias("b"), F.xxhash64(F.lit(way), key).alias("x"), F.xxhash64(F.lit(way + 7), key).alias("y"), F.explode(blank).alias("blank"))
+        begin, end = (F.col("a") - F.col("blank"), F.col("b") + 1) if way > 0 else (F.col("a"), F.col("b") + 1 + F.col("blank"))
+        return ends.select("doc_id", "th", begin.alias("i"), (end - begin).alias("size"), "x", "y", "blank")
+
+    forward = windows(ahead, F.element_at("ahead", -1)["upto"] - F.col("from") >= min_chars, F.sequence(F.lit(0).cast("long"), "above"), 1)
+    # A line of min_chars alone is both; the second is left out.
+    alone = (F.col("chars") >= min_chars).cast("long")
+    backward = windows(behind, (F.col("upto") - F.get("behind", F.lit(0))["from"] >= min_chars) & (F.col("below") >= alone), F.sequence(alone, F.col("below")), -1)
+    found = materialize(forward.unionByName(backward))
+    place = F.struct("doc_id", "th", "i")
+    # Written first: a join fed by shuffles alone can be split where a content is frequent.
+    groups = materialize(found.groupBy("x", "y", "blank").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    return found.join(groups, ["x", "y", "blank"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "i", "size")
+
+
+def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int | None = LEVELS) -> DataFrame:
     """``docs`` with ``text`` freed of later copies of repeated line runs, ``n_lines`` and ``n_removed``."""
     docs = docs.drop("n_lines", "n_removed").withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    marks = repeated_runs(docs, min_chars, levels).groupBy("doc_id", "th", "i").agg(F.max(F.col("i") + F.col("size")).alias("end"))
+    found = repeated_windows(docs, min_chars) if levels is None else repeated_runs(docs, min_chars, levels)
+    marks = found.groupBy("doc_id", "th", "i").agg(F.max(F.col("i") + F.col("size")).alias("end"))
     before = Window.partitionBy("doc_id", "th").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     island = Window.partitionBy("doc_id", "th").orderBy("i")
     fresh = marks.withColumn("fresh", F.coalesce(F.col("i") > F.max("end").over(before), F.lit(True)).cast("int"))

@@ -306,3 +306,33 @@ def test_stretches_decode_like_the_whole_text():
             elif label == secrets.INSIDE:
                 want[-1] = (want[-1][0], b)
         assert field.spans(text) == [secrets._trimmed(text, a, b) for a, b in want]
+
+
+def test_line_runs_of_any_length(spark, docs, rows, empty):
+    """Against brute force over all run lengths, with runs of which no part of 1, 2, 4, 8 or 16 lines has 20 characters."""
+    rng = random.Random(12)
+    texts = ["eight ab\nseven c\nnine char", "x\neight ab\nseven c\nnine char\ny", "\n".join("abcdefghijklmnopqrstuvw"), "z\n" + "\n".join("abcdefghijklmnopqrstuvw")]
+    texts += ["\n\nab\n\n" * 12, "q\n\nab\n\n\nab", "a line that is long enough\n\n\n", "b\n\na line that is long enough\n\n"]
+    texts += ["\n".join(rng.choice(["", "a", "bc", "seven c", "eight ab", " a longer line to repeat\r"]) for _ in range(rng.randint(1, 60))) for _ in range(25)]
+    made = [*rows, *((1000 + i, t) for i, t in enumerate(texts))]
+    first, want = {}, []
+    split = lambda x: [y.strip(" \t\r") for y in x.split("\n")]
+    for i, x in sorted({(i, x or "") for i, x in made}, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        n = split(x)
+        for s in range(len(n)):
+            for e in range(s + 1, len(n) + 1):
+                first.setdefault(tuple(n[s:e]), (i, x, s))
+    for i, x in made:
+        raw, n = (x or "").split("\n"), split(x or "")
+        cut = [False] * len(raw)
+        for s in range(len(n)):
+            for e in range(s + 1, len(n) + 1):
+                if sum(map(len, n[s:e])) >= 20 and first[tuple(n[s:e])] != (i, x or "", s):
+                    cut[s:e] = [True] * (e - s)
+        want.append((i or -1, "\n".join(a for a, c in zip(raw, cut, strict=True) if not c), sum(cut)))
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = lines.deduplicate(frame, levels=None)
+    assert sorted((r.doc_id or -1, r.text, r.n_removed) for r in got.collect()) == sorted(want)
+    stage = corpus_pipeline.line_dedup(spark, frame, "")
+    assert sorted((r.doc_id or -1, r.text) for r in stage.collect()) == sorted(w[:2] for w in want)
+    assert lines.deduplicate(empty, levels=None).count() == 0
