@@ -1,6 +1,7 @@
 """Rules of text, parsing, ranking, extraction, crawling, storage and streaming on small fixtures."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from skald.functions import html, text
 from skald.operators import crawl, index, results, search
 from skald.operators.highlight import mark
 from skald.operators.query import parse, stem_word, tokens
+from skald.plans import catalog
 from skald.sources import store
 from skald.streaming import ingest
 
@@ -139,3 +141,19 @@ def test_streaming_ingest(spark, tmp_path):
     q = ingest.ingest(ingest.pages_stream(spark, str(tmp_path / "in"), files=1), str(tmp_path / "out"), str(tmp_path / "cp"), "now")
     q.awaitTermination()
     assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()) == ["https://ex.com/0", "https://ex.com/1", "https://ex.com/9"]
+
+
+def test_main_text_whole(spark, tmp_path):
+    """Against the rule in Python: the text beyond 800 characters is returned, up to 4000 bytes."""
+    pages = [(r.page_id, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()]
+    pages += [(-1, "<body><article>" + "é" * 5000 + "</article></body>"), (-2, "<body>" + "<p>word</p> " * 300 + "</body>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {}
+    for i, page in pages:
+        found = (re.search(rf"(?is)<{e}[^>]*>([\s\S]*?)</{e}>", page) for e in ("article", "main", "body"))
+        body = next((m[1] for m in found if m and m[1]), page)
+        for pattern in (r"(?s)<!--.*?-->", r"(?is)<script[^>]*>[\s\S]*?</script>", r"(?is)<style[^>]*>[\s\S]*?</style>", r"(?is)<[^>]+>", r"(?a:\s+)"):
+            body = re.sub(pattern, " ", body)
+        want[i] = body.strip(" ").encode()[:4000].decode(errors="replace")
+    assert {r.page_id: r.body for r in catalog.QUERIES["extract_main_text_whole"](spark, str(tmp_path)).collect()} == want
+    assert len(want[-1]) == 2000 and sum(len(x) > 800 for x in want.values()) > 10
