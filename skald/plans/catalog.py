@@ -147,6 +147,13 @@ def postings_tf(spark, sf_dir):
     return index.postings(web(spark, sf_dir)).select("field", "token", "id", shown.alias("positions"), "tf")
 
 
+# Without the five positions of the query above: each posting's whole list.
+@query(f"{_TOK} SELECT field, token, id, CAST(list_sort(list(pos)) AS VARCHAR) AS positions, count(*) AS tf FROM tok GROUP BY field, token, id")
+def postings_positions(spark, sf_dir):
+    shown = F.concat(F.lit("["), F.array_join(F.col("positions").cast("array<string>"), ", "), F.lit("]"))
+    return index.postings(web(spark, sf_dir)).select("field", "token", "id", shown.alias("positions"), "tf")
+
+
 @query(f"{_TOK}, {sql.TF} SELECT token, df FROM df")
 def doc_freq(spark, sf_dir):
     return index.document_frequencies(frequencies(spark, sf_dir, "web"))

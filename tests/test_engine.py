@@ -157,3 +157,19 @@ def test_main_text_whole(spark, tmp_path):
         want[i] = body.strip(" ").encode()[:4000].decode(errors="replace")
     assert {r.page_id: r.body for r in catalog.QUERIES["extract_main_text_whole"](spark, str(tmp_path)).collect()} == want
     assert len(want[-1]) == 2000 and sum(len(x) > 800 for x in want.values()) > 10
+
+
+def test_whole_position_lists(spark):
+    """Every position of every posting, against the tokens of each text in order."""
+    sf_dir = "/root/testdata/sf0.001"
+    want = {}
+    for r in text.exploded_tokens(catalog.web(spark, sf_dir), "body", "lang", "id").select("id", "pos", "token").collect():
+        want.setdefault((r.id, r.token), []).append(r.pos)
+    rows = catalog.QUERIES["postings_positions"](spark, sf_dir).where("field = 'body'").collect()
+    assert {(r.id, r.token): json.loads(r.positions) for r in rows} == {k: sorted(v) for k, v in want.items()}
+    assert all(len(json.loads(r.positions)) == r.tf for r in rows) and max(r.tf for r in rows) > 5
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = catalog.QUERIES["postings_positions"](spark, sf_dir).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalog.ORACLES["postings_positions"]).fetchall())
