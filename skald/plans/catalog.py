@@ -77,7 +77,8 @@ _RES = sql.search(parse(TERM), sql.WEB)
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(web(spark, sf_dir), TERM, tf=frequencies(spark, sf_dir, "web"))
+    # Filters, facets and totals count every match, as their SQL does: without the reference's cap.
+    return search.search(web(spark, sf_dir), TERM, search.Settings(cap=None), frequencies(spark, sf_dir, "web"))
 
 
 def _on_results(name: str, f, oracle: str) -> None:

@@ -173,3 +173,10 @@ def test_whole_position_lists(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     got = catalog.QUERIES["postings_positions"](spark, sf_dir).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(catalog.ORACLES["postings_positions"]).fetchall())
+
+
+def test_facets_and_totals_beyond_the_cap(spark, tmp_path):
+    """More matches than the reference keeps: every one of them is counted."""
+    n = search.CAP + 50
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("thon").alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.n for r in catalog.QUERIES["facet_source_hits"](spark, str(tmp_path)).collect()] == [n]
