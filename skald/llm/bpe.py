@@ -2,11 +2,10 @@
 
 ``WordBpe`` reads a public BPE file whose words end in ``</w>`` and gives the ids that the
 tokenizers library gives. The characters of many texts lie in one flat array: their classes
-mark where pieces begin, prefix sums give each piece a 64-bit hash, and a bounded table of
-sorted hashes holds the ids of pieces seen before. The others are encoded together: the
-symbols of all of them lie in one flat array, each round finds every adjacent pair's rank by
-binary search over sorted pair keys, takes the lowest rank of each piece and merges all its
-occurrences.
+mark where pieces begin, and a bounded table knows the pieces seen before by their whole text.
+The others are encoded together: the symbols of all of them lie in one flat array, each round
+finds every adjacent pair's rank by binary search over sorted pair keys, takes the lowest rank
+of each piece and merges all its occurrences.
 
 Defined results: null or empty text has no ids and decodes to the empty string; the special
 tokens' strings inside a text become their single ids; equal texts give equal ids; rows are
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -35,15 +35,13 @@ SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 _OTHER, _LETTER, _NUMBER, _BLANK = range(4)
 #: Endings that follow an apostrophe and form a piece with it.
 _ONE, _TWO = [ord(c) for c in "stmd"], [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.int64(1) << 40
-#: Pieces of more symbols are merged one by one from a heap, which suits few long pieces better than rounds.
-LONG = 512
-#: Pieces that one series of rounds merges: their arrays stay in the processor's cache.
-ROUND_WORDS = 4000
-#: Pieces whose ids are kept; a full table is emptied.
-CACHE = 800_000
+#: Rounds over one piece take time in proportion to its symbols times its merges; beyond so many, a heap gives the same ids.
+LONG = 8192
+#: Pieces, of similar length, and symbols that one series of rounds merges: their arrays stay in the processor's cache.
+ROUND_WORDS, ROUND_SYMBOLS = 4000, 64_000
+#: Characters of the pieces whose ids are kept, each counted with PIECE more; a full table is emptied.
+CACHE, PIECE = 24_000_000, 60
 
 
 def default_path() -> str:
@@ -70,17 +68,6 @@ def char_kinds() -> np.ndarray:
     return kinds
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the hash's odd base modulo 2**64, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16) * 2
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 class WordBpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -153,6 +140,10 @@ class WordBpe:
         cut = (np.cumsum(np.bincount(word, minlength=len(words))) * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)]
 
+    @functools.cached_property
+    def _rank_of(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
     def _long(self, word: bytes) -> bytes:
         """The same for one long word: a heap of pairs by rank and place over a linked list."""
         raw = np.frombuffer(word, np.uint8)
@@ -160,7 +151,7 @@ class WordBpe:
         symbols[-1] = int(self.last[raw[-1]])
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        known = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        known = self._rank_of
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := known.get(symbols[i] << 20 | symbols[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
@@ -178,35 +169,35 @@ class WordBpe:
         return np.array([s for s in symbols if s >= 0], "<u4").tobytes()
 
     def _forget(self) -> None:
-        self.hashes, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}
+        self.weight = 0
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Put the ids of new pieces, in the order of their hashes, into the table."""
+    def _learn(self, pieces: list[str]) -> None:
+        """Put the ids of new distinct pieces into the table."""
         raw = [p.encode() for p in pieces]
         ids: list[bytes] = [b""] * len(raw)
-        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
-        for k in range(0, len(short), ROUND_WORDS):
-            part = short[k : k + ROUND_WORDS]
-            for i, x in zip(part, self._rounds([raw[i] for i in part]), strict=True):
-                ids[i] = x
+        short = sorted((i for i, r in enumerate(raw) if len(r) <= LONG), key=lambda i: len(raw[i]))
+        begin = size = 0
+        for k, i in enumerate([*short, -1]):
+            size += len(raw[i]) if i >= 0 else 0
+            if k > begin and (i < 0 or k - begin == ROUND_WORDS or size > ROUND_SYMBOLS):
+                for j, x in zip(short[begin:k], self._rounds([raw[j] for j in short[begin:k]]), strict=True):
+                    ids[j] = x
+                begin, size = k, len(raw[i])
         for i, r in enumerate(raw):
             if len(r) > LONG:
                 ids[i] = self._long(r)
-        if len(self.hashes) + len(hashes) > CACHE:
-            self._forget()
         count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         at = len(self.flat) + np.cumsum(count) - count
         self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
-        place = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.at, self.count = (np.insert(a, place, x) for a, x in ((self.hashes, hashes), (self.at, at), (self.count, count)))
+        self.known.update(zip(pieces, range(len(self.at), len(self.at) + len(pieces)), strict=True))
+        self.at, self.count = np.concatenate([self.at, at]), np.concatenate([self.count, count])
+        self.weight += sum(map(len, pieces)) + PIECE * len(pieces)
 
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of sorted hashes in the table, and which of them it has."""
-        place = np.searchsorted(self.hashes, hashes)
-        held = place < len(self.hashes)
-        held[held] = self.hashes[place[held]] == hashes[held]
-        return place, held
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
 
     @staticmethod
     def _plain(text: str) -> str:
@@ -240,34 +231,25 @@ class WordBpe:
         begin, end = self._cut(codes)
         if not len(begin):
             return [b""] * len(texts)
-        power, inverse = powers(len(codes))
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes + np.uint64(1)) * _MIX * power, out=sums[1:])
-        hashes = (sums[end] - sums[begin]) * inverse[begin]
-        hashes ^= hashes >> np.uint64(29)
-        hashes *= _MIX
-        distinct, which = np.unique(hashes, return_inverse=True)
-        place, held = self._find(distinct)
-        if not held.all():
-            some = np.zeros(len(distinct), np.int64)
-            some[which] = np.arange(len(which))
-            if len(self.hashes) + len(distinct) > CACHE:
-                self._forget()
-                held[:] = False
-            new = some[~held]
-            self._learn(distinct[~held], [joined[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
-            place, _ = self._find(distinct)
-        at, count = self.at[place][which], self.count[place][which]
+        pieces = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        if self.weight > CACHE:
+            self._forget()
+        which = self._numbers(pieces)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys(pieces[i] for i in new.tolist())))
+            which[new] = self._numbers([pieces[i] for i in new.tolist()])
+        at, count = self.at[which], self.count[which]
         total = np.cumsum(count)
         ids = self.flat[np.repeat(at - (total - count), count) + np.arange(total[-1])].astype("<u4").tobytes()
-        pieces = np.searchsorted(begin, np.cumsum(sizes))
-        cut = (np.concatenate([[0], total])[pieces] * 4).tolist()
+        last = np.searchsorted(begin, np.cumsum(sizes))
+        cut = (np.concatenate([[0], total])[last] * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        marked = [i for i, t in enumerate(texts) if self._special and "<|" in t and self._special.search(t)]
+        marked = [i for i, t in enumerate(texts) if self._special and self._special.search(t)]
         whole = sorted(set(range(len(texts))).difference(marked))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids
