@@ -3,110 +3,124 @@
 Every line is an ID (its trimmed bytes' hash, 128 bits). Round ``k`` sorts the pairs of ranks at a
 line and ``2**k`` lines on, over range partitions, and numbers them in that order: the rank of a
 suffix by its first ``2**(k+1)`` lines. Suffixes with one rank are an interval of the suffix array
-whose longest common prefix is at least so long; a rank that occurs once is settled and leaves.
-In each interval, all but the earliest suffix (document, then line) mark a repeated run of
-``2**k`` lines; it counts if it has at least ``min_chars`` characters. A longer run whose parts of
-1, 2, 4, 8 and 16 lines are all shorter than ``min_chars`` does not count by this rule, which is
-that of ``op3_line_dedup``'s SQL. Marked lines are deleted. DataFrame functions only.
-
-``levels=None`` counts runs of any number of lines (``repeated_windows``).
+whose common prefix is at least so long; a rank that occurs once is settled and leaves.
+
+A line goes if it lies in a run of lines, of any number, that has at least ``min_chars``
+characters and also begins earlier (smaller document, then smaller line). Runs are not listed by
+length: a suffix's common prefix with an earlier one reaches ``min_chars`` just if it reaches the
+``m`` lines that the suffix needs for them, and two suffixes share ``m`` lines just if the ranks by
+``2**k <= m`` lines agree at both ends of the ``m`` lines. So each suffix is asked for its least
+``m`` (and, to cover what is left of a run after its last such start, each line for the least run
+that ends there); the intervals of equal answers give the first one and its later copies, and the
+union of the copies is that of all maximal repeated runs. Doubling ends when no rank repeats or no
+suffix needs more lines. DataFrame functions only; least members of groups are written before
+they are joined, so that the join can be split where a line or a run is very frequent.
 
 Defined results: null text is empty; a text is cut at line feeds; lines are compared without
 leading and trailing spaces, tabs and carriage returns; a short line alone never counts, within a
-longer run it does; text without marked lines stays byte for byte; a document whose lines all
-repeat is left empty, its row stays; exact repetitions of a whole row (doc_id too) are one document;
-a null doc_id comes first; empty tables give none; further columns pass unchanged.
+longer run it does, as do empty lines; text without marked lines stays byte for byte; a document
+whose lines all repeat is left empty, its row stays; exact repetitions of a whole row (doc_id too)
+are one document; a null doc_id comes first; empty tables give none; further columns pass unchanged,
+but for ``n_lines`` and ``n_removed`` where those are asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skald.llm.shared import materialize, partitions
+from skald.llm.shared import drop, materialize, partitions
 
 MIN_CHARS = 20
-LEVELS = 4
+#: A document: whether it has a doc_id, the doc_id, its text's hash.
+_ID = ["known", "doc", "th"]
+
+
+def _place():
+    return F.struct(*_ID, "i")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """``known, doc, th, i, chars, x, y``: every line of every document."""
+    cut = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    line = cut.select(*_ID, F.col("i").cast("long").alias("i"), F.btrim("raw", F.lit(" \t\r")).alias("line"))
+    return line.select(*_ID, "i", F.length("line").cast("long").alias("chars"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(7), "line").alias("y")).distinct()
+
+
+def _least_runs(rows: DataFrame, min_chars: int) -> DataFrame:
+    """``known, doc, th, i, size``: from each line, and up to each line, the least run of two lines or more that has ``min_chars``.
+
+    Lines lie on a scale by the characters before and up to them; the line where a run is long
+    enough is the nearest one on that scale, found by a running least (or greatest) line."""
+    of = Window.partitionBy(*_ID)
+    upto = F.sum("chars").over(of.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    scaled = rows.withColumn("upto", upto).withColumn("least", F.min("chars").over(of)).where(F.col("least") < min_chars)
+    before, short = F.col("upto") - F.col("chars"), F.col("chars") < min_chars
+    event = lambda way, asks, at: F.struct(F.lit(way).alias("way"), F.lit(asks).alias("asks"), at.alias("at"))
+    ends, begins = event(0, 0, -F.col("upto")), event(1, 0, before)
+    asked = F.when(short, F.array(ends, begins, event(0, 1, -(before + min_chars)), event(1, 1, F.col("upto") - min_chars))).otherwise(F.array(ends, begins))
+    events = scaled.select(*_ID, "i", F.inline(asked))
+    on = Window.partitionBy(*_ID, "way").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.when(F.col("asks") == 0, F.col("i"))
+    found = events.withColumn("other", F.when(F.col("way") == 0, F.min(line).over(on)).otherwise(F.max(line).over(on))).where("asks = 1 and other is not null")
+    return found.select(*_ID, F.least("i", "other").alias("i"), (F.abs(F.col("other") - F.col("i")) + 1).alias("size")).distinct()
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Ranks of the keys that repeat, in the keys' order, with their first place."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "i")).alias("first")).where("n > 1")
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
     ordered = groups.repartitionByRange(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     # Range partitions come in the keys' order, so partition number and place are a rank.
     return materialize(ordered.select(*keys, "first", F.monotonically_increasing_id().alias("rank")))
 
 
-def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVELS) -> DataFrame:
-    """``doc_id, th, i, size``: lines at which a run of ``size`` lines begins that occurs earlier."""
-    line = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
-    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.when(F.col("line").rlike(r"^[ \t\r]|[ \t\r]$"), line).otherwise(F.col("line")))
-    rows = lines.select("doc_id", "th", F.col("i").cast("long").alias("i"), F.length("line").cast("long").alias("chars"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(7), "line").alias("y")).distinct()
-    rows = materialize(rows)
-    keys, marks = ["x", "y"], None
-    for k in range(levels + 1):
-        rows = materialize(rows.join(_ranked(rows, keys), keys).select("doc_id", "th", "i", "chars", "rank", (~F.struct("doc_id", "th", "i").eqNullSafe(F.col("first"))).alias("later")))
-        found = rows.where(F.col("later") & (F.col("chars") >= min_chars)).select("doc_id", "th", "i", F.lit(1 << k).cast("long").alias("size"))
-        marks = found if marks is None else marks.unionByName(found)
-        if k == levels or rows.isEmpty():
-            break
-        on = Window.partitionBy("doc_id", "th").orderBy("i").rangeBetween(1 << k, 1 << k)
-        rows = rows.withColumn("next", F.first(F.struct("rank", "chars")).over(on)).where(F.col("next").isNotNull())
-        rows = materialize(rows.select("doc_id", "th", "i", (F.col("chars") + F.col("next.chars")).alias("chars"), F.col("rank").alias("x"), F.col("next.rank").alias("y")))
-    return marks
-
-
-def repeated_windows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, th, i, size``: runs that occur earlier and together cover every such run of at least ``min_chars``.
-
-    From each line the shortest run of ``min_chars`` characters that begins there and the shortest
-    that ends there are grouped by content. In a run that occurs earlier, each line is in one of
-    these that lies inside the run: in the one ending at the line if the run has ``min_chars`` up to
-    there, else in the one beginning where the run does. So their union is that of the maximal runs.
-    Lines without characters are leading or trailing counts; the others in a window are at most
-    ``min_chars``, however long the run is."""
-    line = F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "")
-    split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines")).select("doc_id", "th", F.size("lines").cast("long").alias("many"), F.posexplode("lines").alias("i", "line"))
-    full = split.withColumn("line", line).where(F.length("line") > 0)
-    rows = full.select("doc_id", "th", "many", F.col("i").cast("long").alias("i"), F.length("line").cast("long").alias("chars"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(7), "line").alias("y")).distinct()
-    at = Window.partitionBy("doc_id", "th").orderBy("i")
-    rows = rows.withColumn("upto", F.sum("chars").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.struct("i", "x", "y", "upto", (F.col("upto") - F.col("chars")).alias("from"))
-    rows = rows.select("doc_id", "th", "i", "chars", "upto", (F.col("upto") - F.col("chars")).alias("from"), (F.col("i") - F.coalesce(F.lag("i").over(at), F.lit(-1)) - 1).alias("above"), (F.coalesce(F.lead("i").over(at), F.col("many")) - F.col("i") - 1).alias("below"), F.collect_list(held).over(at.rowsBetween(0, min_chars - 1)).alias("ahead"), F.collect_list(held).over(at.rowsBetween(1 - min_chars, 0)).alias("behind"))
-    ahead, behind = F.filter("ahead", lambda e: e["from"] - F.col("from") < min_chars), F.filter("behind", lambda e: F.col("upto") - e["upto"] < min_chars)
-
-    def windows(part: Column, enough: Column, blank: Column, way: int) -> DataFrame:
-        key = F.transform(part, lambda e: F.struct((e["i"] - F.col("i")).alias("at"), e["x"], e["y"]))
-        ends = rows.where(enough).select("doc_id", "th", F.col("i").alias("own"), F.get(part, F.lit(0))["i"].alias("a"), F.element_at(part, -1)["i"].alias("b"), F.xxhash64(F.lit(way), key).alias("x"), F.xxhash64(F.lit(way + 7), key).alias("y"), F.explode(blank).alias("blank"))
-        begin, end = (F.col("a") - F.col("blank"), F.col("b") + 1) if way > 0 else (F.col("a"), F.col("b") + 1 + F.col("blank"))
-        return ends.select("doc_id", "th", begin.alias("i"), (end - begin).alias("size"), "x", "y", "blank")
-
-    forward = windows(ahead, F.element_at("ahead", -1)["upto"] - F.col("from") >= min_chars, F.sequence(F.lit(0).cast("long"), "above"), 1)
-    # A line of min_chars alone is both; the second is left out.
-    alone = (F.col("chars") >= min_chars).cast("long")
-    backward = windows(behind, (F.col("upto") - F.get("behind", F.lit(0))["from"] >= min_chars) & (F.col("below") >= alone), F.sequence(alone, F.col("below")), -1)
-    found = materialize(forward.unionByName(backward))
-    place = F.struct("doc_id", "th", "i")
-    # Written first: a join fed by shuffles alone can be split where a content is frequent.
-    groups = materialize(found.groupBy("x", "y", "blank").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
-    return found.join(groups, ["x", "y", "blank"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "i", "size")
-
-
-def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int | None = LEVELS) -> DataFrame:
-    """``docs`` with ``text`` freed of later copies of repeated line runs, ``n_lines`` and ``n_removed``."""
-    docs = docs.drop("n_lines", "n_removed").withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    found = repeated_windows(docs, min_chars) if levels is None else repeated_runs(docs, min_chars, levels)
-    marks = found.groupBy("doc_id", "th", "i").agg(F.max(F.col("i") + F.col("size")).alias("end"))
-    before = Window.partitionBy("doc_id", "th").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    island = Window.partitionBy("doc_id", "th").orderBy("i")
-    fresh = marks.withColumn("fresh", F.coalesce(F.col("i") > F.max("end").over(before), F.lit(True)).cast("int"))
-    runs = fresh.withColumn("run", F.sum("fresh").over(island)).groupBy("doc_id", "th", "run").agg(F.min("i").alias("a"), F.max("end").alias("b"))
+def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``known, doc, th, i, size``: runs that begin earlier too and together cover every such run of ``min_chars``."""
+    rows = materialize(_lines(docs))
+    asked = materialize(_least_runs(rows, min_chars))
+    longest = asked.agg(F.max("size")).first()[0] or 1
+    keys, found, k = ["x", "y"], [], 0
+    while True:
+        ranked = _ranked(rows, keys)
+        more = [(~_place().eqNullSafe(F.col("first")) & (F.col("chars") >= min_chars)).alias("later")] if k == 0 else []
+        ranks = materialize(rows.join(ranked, keys).select(*_ID, "i", "rank", *more), ranked, rows)
+        if k == 0:
+            found.append(materialize(ranks.where("later").select(*_ID, "i", F.lit(1).cast("long").alias("size"))))
+        else:
+            mine = asked.where((F.col("size") >= 1 << k) & (F.col("size") < 2 << k)).withColumn("j", F.col("i") + F.col("size") - (1 << k))
+            both = mine.join(ranks.withColumnRenamed("rank", "a"), [*_ID, "i"]).join(ranks.select(*_ID, F.col("i").alias("j"), F.col("rank").alias("b")), [*_ID, "j"])
+            both = materialize(both.select(*_ID, "i", "size", "a", "b"))
+            shared = ["size", "a", "b"]
+            groups = materialize(both.groupBy(*shared).agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1"))
+            found.append(materialize(both.join(groups, shared).where(~_place().eqNullSafe(F.col("first"))).select(*_ID, "i", "size"), both, groups))
+        if 2 << k > longest or ranks.isEmpty():
+            drop(ranks, asked)
+            return reduce(DataFrame.unionByName, found)
+        need = asked.where(F.col("size") >= 2 << k).select(*_ID).distinct()
+        on = Window.partitionBy(*_ID).orderBy("i").rangeBetween(1 << k, 1 << k)
+        pairs = ranks.join(need, _ID, "left_semi").withColumn("y", F.first("rank").over(on)).where(F.col("y").isNotNull())
+        rows = materialize(pairs.select(*_ID, "i", F.col("rank").alias("x"), "y"), ranks)
+        k += 1
+
+
+def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
+    """``docs`` with ``text`` freed of later copies of repeated line runs; with ``counts``, also ``n_lines`` and ``n_removed``."""
+    docs = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    marks = repeated_runs(docs, min_chars).groupBy(*_ID, "i").agg(F.max(F.col("i") + F.col("size")).alias("end"))
+    by_line = Window.partitionBy(*_ID).orderBy("i")
+    fresh = marks.withColumn("fresh", F.coalesce(F.col("i") > F.max("end").over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    runs = fresh.withColumn("run", F.sum("fresh").over(by_line)).groupBy(*_ID, "run").agg(F.min("i").alias("a"), F.max("end").alias("b"))
     intervals = F.collect_list(F.struct("a", "b")).alias("skald_gone")
     # The added columns have names of their own, so that columns of ``docs`` never clash with them.
-    gone = runs.groupBy("doc_id", "th").agg(intervals, F.sum(F.col("b") - F.col("a")).alias("skald_removed")).select(F.col("doc_id").alias("skald_id"), F.col("th").alias("skald_th"), "skald_gone", "skald_removed")
-    text = F.col("skald_docs.text")
+    gone = runs.groupBy(*_ID).agg(intervals, F.sum(F.col("b") - F.col("a")).alias("skald_removed")).select(*(F.col(c).alias(f"skald_{c}") for c in _ID), "skald_gone", "skald_removed")
+    text, doc = F.col("skald_docs.text"), F.col("skald_docs.doc_id")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("skald_gone", lambda g: (i >= g["a"]) & (i < g["b"]))), "\n")
-    joined = docs.alias("skald_docs").join(gone, F.col("skald_docs.doc_id").eqNullSafe(F.col("skald_id")) & (F.xxhash64(text) == F.col("skald_th")), "left")
-    total = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
-    columns = [F.when(F.col("skald_gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"skald_docs.`{c}`") for c in docs.columns]
-    return joined.select(*columns, total.alias("n_lines"), F.coalesce("skald_removed", F.lit(0)).cast("long").alias("n_removed"))
+    same = (doc.isNotNull() == F.col("skald_known")) & (F.coalesce(doc, F.lit(0)) == F.col("skald_doc")) & (F.xxhash64(text) == F.col("skald_th"))
+    joined = docs.alias("skald_docs").join(gone, same, "left")
+    columns = [F.when(F.col("skald_gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"skald_docs.`{c}`") for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
+    if counts:
+        total = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+        columns += [total.alias("n_lines"), F.coalesce("skald_removed", F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*columns)

@@ -63,13 +63,15 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    # Every run of lines, of any length.
     "op3_line_dedup": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
         l AS (SELECT doc_id, raw, list_transform(raw, lambda x: trim(x, ' ' || chr(9) || chr(13))) AS t FROM d),
-        w AS (SELECT doc_id, i, n, list_slice(t, i, i + n - 1) AS key
-              FROM l, (SELECT unnest([1, 2, 4, 8, 16]) AS n) s, LATERAL (SELECT unnest(range(1, len(t) - n + 2)) AS i) p),
-        f AS (SELECT doc_id, i, n, key, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS later FROM w),
-        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM f WHERE later AND list_sum(list_transform(key, lambda x: length(x))) >= 20),
+        s AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM l),
+        e AS (SELECT doc_id, t, i, unnest(range(i, len(t) + 1)) AS j FROM s),
+        w AS (SELECT doc_id, i, j, list_sum(list_transform(t[i:j], lambda x: length(x))) AS chars, j - i || ' ' || sha256(array_to_string(t[i:j], chr(10))) AS key FROM e),
+        f AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS later FROM w WHERE chars >= 20),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE later),
         h AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
         SELECT l.doc_id, CAST(len(raw) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
                sha256(coalesce(array_to_string([x FOR x, k IN raw IF NOT list_contains(coalesce(gone, []), k)], chr(10)), '')) AS kept_sha256

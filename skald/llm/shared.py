@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,20 +16,51 @@ from pyspark.sql import functions as F
 TEXT_BUDGET = 2_000_000
 
 
+#: Shuffle files go with the execution that made them; its result is in files of its own.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: ``spark.checkpoint.dir``, or our own where it is unset (tests)."""
+    """A new folder in ``spark.checkpoint.dir``; where that is unset, local mode (tests) takes a temporary one, a cluster raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skald-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/skald-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at files that survive lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextlib.contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Executions inside drop their shuffle files when they end."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, *used: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at files that survive lost executors.
+
+    Materialized tables ``used``, which nothing else needs, are emptied once ``df`` is written."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    with releasing(spark):
+        df.write.option("compression", codec).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    drop(*used)
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Empty materialized tables that nothing reads any more."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).write.mode("overwrite").parquet(_PATHS.pop(t))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

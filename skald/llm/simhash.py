@@ -95,16 +95,38 @@ def planes(values: np.ndarray) -> np.ndarray:
 
 
 def near(differ: Iterator[np.ndarray], shape: tuple[int, ...], radius: int) -> np.ndarray:
-    """Words with a bit for each place where at most ``radius`` of the planes ``differ`` are set."""
+    """Words with a bit for each place where at most ``radius`` of the planes ``differ`` are set.
+
+    Each digit of the vertical counters waits for a second plane of its weight and takes both in
+    one full adder (carry-save), whose carry goes on to the next digit."""
     digits = radius.bit_length() + 1
     counters = [np.zeros(shape, np.uint64) for _ in range(digits)]
+    waiting: list[np.ndarray | None] = [None] * digits
     over = np.zeros(shape, np.uint64)
     everything = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b, carry in enumerate(differ):
-        for c in counters:
-            carry, c[...] = c & carry, c ^ carry
-        over |= carry
+
+    def add(digit: int, plane: np.ndarray, settle: bool = False) -> None:
+        nonlocal over
+        while digit < digits:
+            first = waiting[digit]
+            if first is None and not settle:
+                waiting[digit] = plane
+                return
+            waiting[digit] = None
+            if first is None:
+                first = np.uint64(0)
+            half = counters[digit] ^ first
+            plane, counters[digit] = counters[digit] & first | half & plane, half ^ plane
+            digit += 1
+        over = over | plane
+
+    for b, plane in enumerate(differ):
+        add(0, plane)
         if b % 8 == 7:
+            for d in range(digits):
+                if (late := waiting[d]) is not None:
+                    waiting[d] = None
+                    add(d, late, settle=True)
             above, equal = over.copy(), np.full(shape, everything)
             for d in range(digits - 1, -1, -1):
                 if radius >> d & 1:
@@ -224,16 +246,19 @@ def bucket_links(rows: DataFrame, radius: int, bucket: int = BUCKET) -> DataFram
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: connected components by alternating large-star and small-star steps."""
+    """``node, root``: connected components by alternating large-star and small-star steps.
+
+    The least neighbours are written before they are joined: a join of written tables can be split
+    where a node has very many edges, one that shares its stage with an aggregation can't."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), low, edges)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = materialize(small)
+        edges = materialize(small, low, large)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -245,9 +270,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     found = materialize(fingerprints(docs, words))
     distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    rooted = materialize(distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), distinct)
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    classes = materialize(rooted.join(least, "root").select("fp", "component_id"), rooted, least)
     return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -265,18 +290,18 @@ def shingle_set(text: str, words: int) -> tuple[int, np.ndarray]:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)), found
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, node, n, fp, keys``: a shingle set's name, size, fingerprint and band keys (none if empty)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def sketches(docs: DataFrame, words: int, row: str) -> DataFrame:
+    """``doc_id, row, node, n, fp, keys``: a shingle set's name, size, fingerprint and band keys (none if empty)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
             sets = [shingle_set(t, words) for t in texts]
             fp = np.array([majority(s) for _, s in sets], np.uint64).view(np.int64)
             keys = [band_keys(s).view(np.int64) if len(s) else [] for _, s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column(row), pa.array([n for n, _ in sets], pa.int64()), pa.array([len(s) for _, s in sets], pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    return whole_text(docs).mapInArrow(run, "doc_id long, node long, n long, fp long, keys array<long>")
+    return whole_text(docs, row).mapInArrow(run, "doc_id long, row long, node long, n long, fp long, keys array<long>")
 
 
 def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -305,7 +330,7 @@ def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return links
 
 
-def verified_links(docs: DataFrame, distinct: DataFrame, parts: DataFrame, words: int, similarity: float, group: int = GROUP) -> DataFrame:
+def verified_links(docs: DataFrame, distinct: DataFrame, parts: DataFrame, words: int, similarity: float, row: str, group: int = GROUP) -> DataFrame:
     """``a, b``: true links inside the candidate classes ``parts`` (node, root) that connect every true class."""
     members = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct()).join(distinct.select("node", "n", "least"), "node")
     members = materialize(members)
@@ -314,8 +339,8 @@ def verified_links(docs: DataFrame, distinct: DataFrame, parts: DataFrame, words
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     dealt = members.join(sizes, "root").select("node", "root", F.explode(F.transform(others, lambda o: F.least(mine, o) * F.col("parts") + F.greatest(mine, o))).alias("pair"))
-    needed = members.select(F.col("least").alias("needed")).distinct()
-    texts = docs.join(needed, docs.doc_id.eqNullSafe(needed.needed), "left_semi")
+    needed = members.select(F.col("least.row").alias("needed")).distinct()
+    texts = docs.join(needed, docs[row] == needed.needed, "left_semi")
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,12 +373,26 @@ def verified_links(docs: DataFrame, distinct: DataFrame, parts: DataFrame, words
     return near_by.mapInArrow(run, "a long, b long")
 
 
-def first_of_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
-    """``kept``: the smallest doc_id of each class that links of ``similarity`` or more make."""
-    found = sketches(docs, words)
-    distinct = materialize(found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+def first_of_classes(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """``kept``: of each class that links of ``similarity`` or more make, the ``row`` with the smallest doc_id.
+
+    ``row`` is a column of ``docs`` that tells every row from all others, equal ones too; among
+    equal doc_ids the smallest decides, null doc_ids come last."""
+    found = sketches(docs, words, row)
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    distinct = materialize(found.groupBy("node").agg(F.min(place).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     rows = distinct.select("fp", "node", F.posexplode("keys").alias("t", "bits"))
     candidates = components(bucket_links(rows, radius))
-    true = components(verified_links(docs, distinct, candidates, words, similarity))
+    true = components(verified_links(docs, distinct, candidates, words, similarity, row))
     rooted = distinct.select("node", "least").join(true, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    return rooted.groupBy("root").agg(F.min("least").alias("kept")).select("kept").distinct()
+    return rooted.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.row").alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that ``first_of_classes`` keeps: one row of each class, also of equal rows or doc_ids; all columns stay."""
+    row = next(c for c in ("skald_row", "skald_row_of_near_dedup", *map("skald_row_{}".format, range(len(docs.columns) + 1))) if c not in docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    keep = materialize(first_of_classes(rows, row, words, similarity))
+    return rows.join(keep, rows[row] == keep.kept, "left_semi").drop(row)
+
+

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -138,9 +139,17 @@ def test_topk_with_a_frequent_id(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def _fingerprint(text):
+    """The contract's words, bit by bit."""
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_simhash(docs, rows, empty):
     got = simhash.near_duplicates(docs).collect()
-    prints = {x: simhash.fingerprint(x or "") for _, x in rows}
+    prints = {x: _fingerprint(x or "") for _, x in rows}
     assert sorted((r.doc_id or -1, r.fingerprint) for r in got) == sorted((i or -1, f"{prints[x]:016x}") for i, x in rows)
     label = {p: min((i for i, x in rows if prints[x] == p and i is not None), default=None) for p in prints.values()}
     for _ in label:
@@ -188,31 +197,6 @@ def test_index_compacts(spark, docs):
     assert len(index.runs) == 1 and index.repeating().count() > 0
 
 
-def test_lines(docs, rows, empty):
-    got = lines.deduplicate(docs)
-    assert set(got.columns) == set(docs.columns) | {"n_removed"}
-    first = {}
-    order = sorted({(i, x or "") for i, x in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    split = lambda x: [y.strip(" \t\r") for y in x.split("\n")]
-    for i, x in order:
-        n = split(x)
-        for k in range(5):
-            for s in range(len(n) - 2**k + 1):
-                first.setdefault(tuple(n[s : s + 2**k]), (i, x, s))
-    want = []
-    for i, x in rows:
-        raw, n = (x or "").split("\n"), split(x or "")
-        cut = [False] * len(raw)
-        for k in range(5):
-            for s in range(len(n) - 2**k + 1):
-                run = tuple(n[s : s + 2**k])
-                if first[run] != (i, x or "", s) and sum(map(len, run)) >= 20:
-                    cut[s : s + 2**k] = [True] * 2**k
-        want.append((i or -1, "\n".join(a for a, c in zip(raw, cut, strict=True) if not c), sum(cut)))
-    assert sorted((r.doc_id or -1, r.text, r.n_removed) for r in got.collect()) == sorted(want)
-    assert lines.deduplicate(empty).count() == 0
-
-
 def test_secrets(docs, rows, empty):
     got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan(docs).collect()}
     for i, x in rows:
@@ -275,13 +259,14 @@ def test_near_dedup_by_similarity(spark):
     want = {min(i for i, r in zip(order, root, strict=True) if r == c) for c in set(root)}
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(order, made, strict=True)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert linked > 40 and {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()} == want
-    split = simhash.verified_links(frame, *_sketched(spark, frame), 5, 0.8, group=8)
+    frame = frame.withColumn("r", F.col("doc_id"))
+    split = simhash.verified_links(frame, *_sketched(spark, frame), 5, 0.8, "r", group=8)
     assert simhash.components(split).count() == len(set(sets)) - len({root[i] for i in range(len(made))})
 
 
 def _sketched(spark, frame):
     """All shingle sets as one candidate class, to be split over workers."""
-    distinct = simhash.sketches(frame, 5).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")).cache()
+    distinct = simhash.sketches(frame, 5, "r").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("n").alias("n")).cache()
     first = distinct.agg(F.min("node")).first()[0]
     return distinct, distinct.where(F.col("node") != first).select("node", F.lit(first).alias("root"))
 
@@ -331,8 +316,17 @@ def test_line_runs_of_any_length(spark, docs, rows, empty):
                     cut[s:e] = [True] * (e - s)
         want.append((i or -1, "\n".join(a for a, c in zip(raw, cut, strict=True) if not c), sum(cut)))
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    got = lines.deduplicate(frame, levels=None)
+    got = lines.deduplicate(frame)
+    assert set(got.columns) == {*frame.columns, "n_lines", "n_removed"}
     assert sorted((r.doc_id or -1, r.text, r.n_removed) for r in got.collect()) == sorted(want)
     stage = corpus_pipeline.line_dedup(spark, frame, "")
     assert sorted((r.doc_id or -1, r.text) for r in stage.collect()) == sorted(w[:2] for w in want)
-    assert lines.deduplicate(empty, levels=None).count() == 0
+    assert lines.deduplicate(empty).count() == 0
+    own = lines.deduplicate(docs, counts=False)
+    assert own.columns == docs.columns and {r.n_lines for r in own.collect()} == {3}
+
+
+@pytest.mark.parametrize(("run", "many"), [("eight ab\nseven c\nnine char", 3), ("\n".join(["abc", "def", "ghi", "jkl", "mno", "pqr", "stu"]), 7)])
+def test_runs_of_short_lines(spark, run, many):
+    frame = spark.createDataFrame([(1, f"first one\n{run}\nends"), (2, f"other\n{run}")], "doc_id long, text string")
+    assert [(r.doc_id, r.n_removed) for r in lines.deduplicate(frame).orderBy("doc_id").collect()] == [(1, 0), (2, many)]
