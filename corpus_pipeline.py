@@ -14,29 +14,44 @@ from skald.llm.shared import materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the rated rows of ``docs``, accepts."""
+    """Documents that the classifier, fitted on the rated rows of ``docs``, accepts.
+
+    Every row is judged by its text alone (null: empty), so equal rows go or stay together, whatever
+    their doc_id; with ratings of fewer than two grades all stay; columns pass unchanged; no rows give none."""
     return quality.keep_good(docs, quality.fit(quality.sample(docs, table(spark, sf_dir, "labels"))))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs of any length; ``n_chars`` is counted anew."""
-    kept = lines.deduplicate(docs, levels=None).drop("n_lines", "n_removed")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select([c for c in docs.columns if c not in ("n_lines", "n_removed")])
+    """Documents without later copies of repeated line runs of any length; ``n_chars`` is counted anew.
+
+    Null text becomes empty; a document whose lines all repeat stays with empty text; a null doc_id
+    comes first; further columns, ``n_lines`` and ``n_removed`` among them, pass unchanged; no rows give none."""
+    kept = lines.deduplicate(docs, counts=False)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of five-word Jaccard 0.8 or more."""
-    keep = simhash.first_of_classes(docs, words=5, similarity=0.8)
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.kept), "left_semi")
+    """One row, that of the smallest doc_id, of each class of five-word Jaccard 0.8 or more.
+
+    Of equal rows and of equal doc_ids one stays as of any others; a null doc_id stays only where all
+    of its class are null; texts without words (null, empty, white space) are one class; further
+    columns pass unchanged; no rows give none."""
+    return simhash.without_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret replaced by a mark; ``n_chars`` is counted anew."""
+    """Documents with every secret replaced by a mark; ``n_chars`` is counted anew.
+
+    Null text stays null, with null ``n_chars``; every row stays, also repeated ones; further columns
+    pass unchanged; no rows give none."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of at most 4096 tokens."""
+    """Pieces of all documents, placed in sequences of at most 4096 tokens.
+
+    Null and empty texts are their end id alone; every row, also a repeated one or one without doc_id,
+    is packed; further columns are left out; no rows give no pieces."""
     return packing.pack_documents(docs, end_id=1, capacity=4096)
 
 
