@@ -3,32 +3,42 @@
 A window is ``WINDOW`` consecutive words. In each window the smallest hash of its ``GRAM``-word
 grams is its anchor: equal windows have equal anchors, so a window can only repeat where its
 anchor's hash does, and neighbouring windows share an anchor. The index keeps one row for each
-anchor hash and context (the words of all windows that the anchor stands for) in sorted immutable
-runs, one per batch; a new batch's run is merge-joined with the older ones to find the hashes
-that now repeat, and runs are compacted once there are too many. Occurrences of repeating hashes
-are then verified: a later occurrence of a whole context loses all its windows at once, and where
-contexts differ (where a repeated passage begins or ends) the first ones' windows are compared one
-by one. Rows that repeat nowhere never meet a text again. No group is gathered: counts and first
-occurrences are aggregates with map-side combination, joins are split by skew handling.
+anchor hash and context (the words of all windows that the anchor stands for) with its count and
+first place, in immutable runs sorted by both, one per batch; a manifest lists the runs, so that
+another session can open the index and go on. Runs are compacted into one before a batch would
+find more than ``most_runs`` of them.
+
+A new batch's run is merge-joined with the older runs. A later occurrence of a whole context loses
+all its windows at once; where contexts of one anchor differ (where a repeated passage begins or
+ends) and one of them is new, the windows of their first occurrences are read from the texts again
+and compared one by one. Rows that repeat nowhere never meet a text again, and of older documents
+only those are read that hold such a first occurrence. Windows and contexts are known by BLAKE2b of
+their words, salted anew for each index, beside the anchor's hash: no text can be made to collide.
+The anchor's own hash, of polynomials over letters and words, only chooses and groups.
+
+No group is gathered: counts and first occurrences are aggregates with map-side combination, written
+before they are joined, so that skew handling can split the joins.
 
 Defined results: words are runs of other bytes than 0x20 and 0x09-0x0D; null text has no words,
 texts shorter than a window lose nothing; a word goes if a window that covers it also starts
 earlier (smaller doc_id, null first; or same doc_id and earlier start), judged on the input;
-rows with one doc_id count as one document's starts, so exact repetitions of a whole row are both
-kept; no rows, no result; extra columns are left out.
+rows with one doc_id count as one document's starts (and are gathered as one document is), so exact
+repetitions of a whole row are both kept; no rows, no result; extra columns are left out.
 """
 
 from __future__ import annotations
 
-import gc
+import hashlib
+import secrets as random_bytes
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skald.llm.shared import materialize, shared_dir, text_slices, whole_text
+from skald.llm.shared import drop, materialize, releasing, shared_dir, text_slices, whole_text
 
 WINDOW, GRAM = 20, 5
 _BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,10 +74,11 @@ class Spans:
 
 
 class Words:
-    """The words of several texts: places in the joined bytes, text numbers and hashes."""
+    """The words of several texts: places in the joined bytes (one space between words), text numbers and hashes."""
 
-    def __init__(self, texts: list[str]) -> None:
-        raw = [t.encode() for t in texts]
+    def __init__(self, texts: list[str], salt: bytes) -> None:
+        self.salt = salt
+        raw = [b" ".join(t.encode().split()) for t in texts]
         self.data = b"\n".join([b"", *raw, b""])
         codes = np.frombuffer(self.data, np.uint8)
         white = (codes == 32) | ((codes >= 9) & (codes <= 13))
@@ -79,11 +90,16 @@ class Words:
         letters = codes.astype(np.uint64) + np.uint64(1)
         spans = Spans(letters, 0)
         self.grams = Spans(spans(self.begin, self.end), 0)
-        self.context = Spans(_mixed(spans(self.begin, self.end), 1), 1)
 
+    def names(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """What spans of words, up to ``last``, are known by: a digest of the words themselves."""
+        data, salt, digest = self.data, self.salt, hashlib.blake2b
+        made = b"".join([digest(data[a:b], digest_size=8, salt=salt).digest() for a, b in zip(self.begin[first].tolist(), self.end[last - 1].tolist(), strict=True)])
+        return np.frombuffer(made, np.uint64)
 
-def anchors_of(words: Words) -> dict[str, np.ndarray]:
-    """The anchors of all windows: text, first window's start, number of windows, hashes."""
+
+def anchors_of(words: Words, named: bool = True) -> dict[str, np.ndarray]:
+    """The anchors of all windows: text, first window's start, number of windows, hash and, if ``named``, context."""
     n, width = len(words.begin), WINDOW - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < WINDOW:
@@ -104,86 +120,98 @@ def anchors_of(words: Words) -> dict[str, np.ndarray]:
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1)])
     count = np.diff(np.r_[new, len(start)])
     begin, anchor = start[new], anchor[new]
-    ctx = words.context(begin, begin + count + WINDOW - 1) ^ _mixed((anchor - begin << 8 | count).astype(np.uint64), 0)
+    ctx = words.names(begin, begin + count + WINDOW - 1) ^ _mixed((anchor - begin << 8 | count).astype(np.uint64), 0) if named else np.zeros(len(begin), np.uint64)
     text = words.text[begin]
     return {"text": text, "start": begin - words.first[text], "count": count, "h": gram[anchor].view(np.int64), "ctx": ctx.view(np.int64)}
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def anchors(docs: DataFrame, salt: bytes) -> DataFrame:
     """``h, ctx, doc_id, span``: ``span`` is the first window's start times 32 plus the number of windows."""
     schema = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, budget=1_000_000):
-            found = anchors_of(Words(texts))
+            found = anchors_of(Words(texts, salt))
             doc = rows.column("doc_id").take(pa.array(found["text"]))
             yield pa.RecordBatch.from_arrays([pa.array(found["h"]), pa.array(found["ctx"]), doc, pa.array(found["start"] * 32 + found["count"])], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "h long, ctx long, doc_id long, span long")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_PLACE = "struct<doc_id: bigint, span: bigint>"
+_RUN = f"h long, ctx long, n long, first {_PLACE}"
+_KEY = ["h", "ctx"]
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of historical fingerprints in a shared folder, and the hashes that repeat."""
+    """Sorted immutable runs of fingerprints under ``path``, and the manifest that lists them."""
+
+    def __init__(self, spark: SparkSession, path: str, salt: bytes, runs: list[str], made: int, most_runs: int) -> None:
+        self.spark, self.path, self.salt, self.runs, self.made, self.most_runs = spark, path, salt, runs, made, most_runs
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str | None = None, most_runs: int = 2) -> FingerprintIndex:
+        index = cls(spark, path or shared_dir(spark), random_bytes.token_bytes(16), [], 0, most_runs)
+        index._commit()
+        return index
 
-    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = 4) -> None:
-        self.spark, self.path, self.most_runs = spark, path or shared_dir(spark), most_runs
-        self.runs: list[str] = []
-        self.repeats: list[DataFrame] = []
-        self.made = 0
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, most_runs: int = 2) -> FingerprintIndex:
+        """The index that any session has left under ``path``."""
+        last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        return cls(spark, path, bytes(last.salt), list(last.runs), last.made, most_runs)
+
+    def _commit(self) -> None:
+        # A version counts once its row is there; runs that no version lists are of no effect.
+        row = [(self.made, bytearray(self.salt), self.runs, self.made)]
+        self.spark.createDataFrame(row, "version long, salt binary, runs array<string>, made long").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def _write(self, rows: DataFrame) -> str:
         self.made += 1
-        out = f"{self.path}/run-{self.made:05d}"
-        rows.sortWithinPartitions("h", "ctx").write.option("compression", "zstd").parquet(out)
-        return out
-
-    def _read(self, run: str) -> DataFrame:
-        return self.spark.read.schema("h long, ctx long, n long").parquet(run)
-
-    def add(self, batch: DataFrame) -> None:
-        """Add ``batch`` as a run; note the hashes that repeat in it or between it and older runs."""
-        new = self._write(anchors(batch).groupBy("h", "ctx").agg(F.count("*").alias("n")))
-        within = self._read(new).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-        found = within
-        for old in self.runs:
-            found = found.unionByName(self._read(new).select("h").join(self._read(old).select("h"), "h", "left_semi"))
-        self.repeats.append(materialize(found.distinct()))
-        self.runs.append(new)
-        if len(self.runs) > self.most_runs:
+        name = f"run-{self.made:05d}"
+        with releasing(self.spark):
+            rows.sortWithinPartitions(*_KEY).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return name
+
+    def read(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema(_RUN).parquet(*(f"{self.path}/{r}" for r in runs)) if runs else self.spark.createDataFrame([], _RUN)
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Add ``batch`` (doc_id, text) as a run; the batch's anchors, written."""
+        if len(self.runs) >= self.most_runs:
             self.compact()
-        release(self.spark)
+        found = materialize(anchors(batch, self.salt))
+        self.runs = [*self.runs, self._write(found.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("first")))]
+        self._commit()
+        return found
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        rows = self._read(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self._read(run))
-        self.runs = [self._write(rows.groupBy("h", "ctx").agg(F.sum("n").alias("n")))]
+        old = self.runs
+        if len(old) > 1:
+            self.runs = [self._write(merged(self.read(old)))]
+            self._commit()
+            self._empty(old)
 
-    def repeating(self) -> DataFrame:
-        rows = self.repeats[0]
-        for more in self.repeats[1:]:
-            rows = rows.unionByName(more)
-        return rows.distinct()
+    def _empty(self, runs: list[str]) -> None:
+        for name in runs:
+            self.spark.createDataFrame([], _RUN).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
 
-def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h, w, doc_id, start``: the windows of the wanted anchors (``doc_id, spans``)."""
+def merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def _windows(docs: DataFrame, wanted: DataFrame, salt: bytes) -> DataFrame:
+    """``h, w, doc_id, start``: the windows of the wanted anchors (``d, spans``)."""
     schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, budget=1_000_000):
-            words = Words(texts)
-            found = anchors_of(words)
+            words = Words(texts, salt)
+            found = anchors_of(words, named=False)
             span = found["start"] * 32 + found["count"]
-            wanted = rows.column("spans").to_pylist()
-            lists = [np.array(x or [], np.int64) for x in wanted]
+            lists = [np.array(x or [], np.int64) for x in rows.column("spans").to_pylist()]
             keys = np.concatenate([np.full(len(x), i, np.int64) for i, x in enumerate(lists)]) << 40 | np.concatenate(lists)
             hit = np.isin(found["text"] << 40 | span, keys)
             count = found["count"][hit]
@@ -191,49 +219,40 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             start = found["start"][hit][which] + np.arange(len(which)) - (np.cumsum(count) - count)[which]
             text = found["text"][hit][which]
             place = words.first[text] + start
-            w = words.context(place, place + WINDOW) if len(place) else np.zeros(0, np.uint64)
+            w = words.names(place, place + WINDOW)
             yield pa.RecordBatch.from_arrays([pa.array(found["h"][hit][which]), pa.array(w.view(np.int64)), rows.column("doc_id").take(pa.array(text)), pa.array(start)], schema=schema)
 
-    joined = docs.join(wanted.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text", "spans")
+    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "h long, w long, doc_id long, start long")
 
 
-def _later(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
-    """``rows`` with ``later``: whether an equal key has an earlier place."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct(*place)).alias("first"))
-    return rows.join(first, keys).withColumn("later", ~F.struct(*place).eqNullSafe(F.col("first"))).drop("first")
-
-
-def deduplicate(docs: DataFrame, batches: int = 2) -> DataFrame:
+def repeated_spans(docs: DataFrame, index: FingerprintIndex, found: DataFrame) -> DataFrame:
+    """``doc_id, a, b``: the words of a batch, just added, that windows which start earlier cover.
+
+    ``found`` are the batch's anchors, ``docs`` (doc_id, text) the batch and all documents before it;
+    documents must come in ascending order of doc_id, batch after batch."""
+    own, older = index.read(index.runs[-1:]), index.read(index.runs[:-1])
+    again = own.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    again = materialize(again.unionByName(own.select("h").join(older.select("h"), "h", "left_semi")).distinct())
+    rows = own.withColumn("new", F.lit(True)).unionByName(older.withColumn("new", F.lit(False))).join(again, "h", "left_semi")
+    contexts = materialize(rows.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("new").alias("new")), again)
+    first = contexts.where("n > 1").select(*_KEY, "first")
+    later = materialize(found.join(first, _KEY).where(~F.struct("doc_id", "span").eqNullSafe(F.col("first"))).select("doc_id", "span"))
+    count = F.pmod("span", F.lit(32))
+    start = F.shiftright("span", 5)
+    spans = later.select("doc_id", start.alias("a"), (start + count + WINDOW - 1).alias("b"))
+    several = materialize(contexts.groupBy("h").agg((F.min("ctx") != F.max("ctx")).alias("several"), F.max("new").alias("new")).where("several and new").select("h"))
+    wanted = contexts.join(several, "h", "left_semi").groupBy(F.col("first.doc_id").alias("d")).agg(F.collect_set("first.span").alias("spans"))
+    windows = materialize(_windows(docs, wanted, index.salt), several)
+    drop(contexts, found)
+    places = windows.groupBy("h", "w").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h", "w", "first")
+    places = materialize(places)
+    single = windows.join(places, ["h", "w"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select("doc_id", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
+    return materialize(spans.unionByName(single), windows, places, later)
+
+
+def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: the words that are left of each document, joined by spaces."""
-    docs = whole_text(docs)
-    index = FingerprintIndex(docs.sparkSession)
-    tops = docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    edges = [None, *sorted({int(t) for t in tops}), None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = docs if low is None else docs.where(F.col("doc_id") > low)
-        if high is not None:
-            part = part.where((F.col("doc_id") <= high) | F.col("doc_id").isNull() if low is None else F.col("doc_id") <= high)
-        index.add(part)
-    return resolve(docs, index)
-
-
-def resolve(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """The same for documents that are all in ``index`` (new ones and those they may repeat)."""
-    spark = docs.sparkSession
-    hits = materialize(anchors(docs).join(index.repeating(), "h"))
-    release(spark)
-    several = hits.groupBy("h").agg((F.min("ctx") != F.max("ctx")).alias("several"))
-    marked = materialize(_later(hits, ["h", "ctx"], ["doc_id", "span"]).join(several, "h"))
-    count = F.col("span") % 32
-    start = (F.col("span") - count) / 32
-    spans = marked.where("later").select("doc_id", start.cast("long").alias("a"), (start + count + WINDOW - 1).cast("long").alias("b"))
-    wanted = marked.where("several and not later").groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    windows = materialize(_windows(docs, wanted))
-    release(spark)
-    singles = _later(windows, ["h", "w"], ["doc_id", "start"]).where("later").select("doc_id", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
-    gone = materialize(spans.unionByName(singles).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone")))
-    release(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,5 +272,23 @@ def resolve(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], schema=schema)
 
-    joined = docs.join(gone.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "gone")
+    gone = spans.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def deduplicate(docs: DataFrame, batches: int = 3, path: str | None = None) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` of all documents, added to a new index in ``batches`` by ascending doc_id.
+
+    The index stays under ``path`` for batches to come; without one its runs are emptied at the end."""
+    docs = whole_text(docs)
+    index = FingerprintIndex.create(docs.sparkSession, path)
+    tops = docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    edges = [None, *sorted({int(t) for t in tops}), None]
+    found = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        upto = docs if high is None else docs.where((F.col("doc_id") <= high) | F.col("doc_id").isNull())
+        found.append(repeated_spans(upto, index, index.add(upto if low is None else upto.where(F.col("doc_id") > low))))
+    if path is None:
+        index._empty(index.runs)
+    return without_spans(docs, reduce(DataFrame.unionByName, found))

@@ -190,11 +190,41 @@ def test_substrings(docs, rows, empty):
     assert substrings.deduplicate(empty).count() == 0
 
 
-def test_index_compacts(spark, docs):
-    index = substrings.FingerprintIndex(spark, most_runs=1)
-    for k in range(3):
-        index.add(docs.where(F.col("doc_id") % 3 == k).select("doc_id", "text"))
-    assert len(index.runs) == 1 and index.repeating().count() > 0
+def test_index_goes_on_in_another_session(spark, docs, tmp_path):
+    """Batches added by an index opened anew give what one pass gives, and runs are compacted."""
+    path, rows = f"file://{tmp_path}/index", docs.where("doc_id is not null").select("doc_id", "text")
+    substrings.FingerprintIndex.create(spark, path)
+    found = []
+    for low, high in ((-1, 20), (20, 40), (40, 60), (60, 100)):
+        index = substrings.FingerprintIndex.open(spark.newSession(), path)
+        index.spark = spark
+        added = index.add(rows.where(f"doc_id > {low} and doc_id <= {high}"))
+        found.append(substrings.repeated_spans(rows.where(f"doc_id <= {high}"), index, added))
+    assert index.made == 6 and len(index.runs) == 2
+    spans = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    once = substrings.deduplicate(rows, batches=1)
+    assert sorted(map(tuple, substrings.without_spans(rows, spans).collect())) == sorted(map(tuple, once.collect()))
+
+
+def _twins():
+    """Two different words of 1024 letters whose polynomial hashes modulo 2**64 are equal for every base."""
+    word, swap = "a", str.maketrans("ab", "ba")
+    for _ in range(10):
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_words_that_polynomial_hashes_confuse(spark, library):
+    one, other = _twins()
+    common = " ".join(f"w{i}" for i in range(19))
+    texts = [f"{common} {one}", f"{common} {other}", f"{one} {other} {one}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in substrings.deduplicate(frame, batches=1).collect()] == [0, 0, 0]
+    ids = [np.array(library(t), "<u4") for t in texts]
+    assert {r.doc_id: r.ids for r in bpe.encode_documents(frame).collect()} == {i: x.tobytes() for i, x in enumerate(ids)}
+    crc = lambda end: {i: zlib.crc32(np.append(x, np.uint32(end)).astype("<u4").tobytes()) for i, x in enumerate(ids)}
+    assert {r.doc_id: r.ids_crc32 for r in rans.write_and_read(frame).collect()} == crc(2)
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack_documents(frame).collect()} == crc(1)
 
 
 def test_secrets(docs, rows, empty):
