@@ -1,6 +1,7 @@
 """Operators on small fixtures with nulls, ties, repeated rows, clashing columns and empty tables, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -115,28 +116,44 @@ def test_mpegts(docs, rows, empty):
     assert mpegts.read_media(mpegts.to_media(empty)).count() == 0
 
 
+def _top(v, k):
+    good = [(n, i, [math.floor(64 * c) for c in x]) for n, (i, x) in enumerate(v) if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    limit = lambda s: max(-(2**63), min(2**63 - 1, s))
+    best = [(q, sorted((-limit(sum(x * y for x, y in zip(a, b, strict=True))), i) for m, i, b in good if m != n and len(a) == len(b))[:k]) for n, q, a in good if q % 20 == 0]
+    return sorted((q, r + 1, i, -s) for q, found in best for r, (s, i) in enumerate(found))
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
-    v = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(90)] + [(100, None), (120, [1.0, None]), (140, [float("nan")] * 5), (None, [1.0] * 5), (160, [0.5, 0.5]), (7, [1.0] * 5)]
+    v = [(i, rng.normal(size=5).tolist()) for i in range(90)] + [(100, None), (120, [1.0, None]), (140, [float("nan")] * 5), (None, [1.0] * 5), (160, [0.5, 0.5]), (7, [1.0] * 5), (180, [])]
     v += [(200 + k, v[3][1]) for k in range(30)]
-    frame = spark.createDataFrame([(i, x, 0, "q") for i, x in v], "vec_id long, embedding array<float>, label int, dim string").repartition(3)
-    got = sorted(map(tuple, topk.search(frame, F.col("vec_id") % 20 == 0, k=5).collect()))
-    good = [(i, np.floor(64 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in v if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
-    want = [(q, n + 1, i, -s) for q, a in good if q % 20 == 0 for n, (s, i) in enumerate(sorted((-int(a @ b), i) for i, b in good if i != q and len(a) == len(b))[:5])]
-    assert got == sorted(want)
+    frame = spark.createDataFrame([(i, x, 0, "q") for i, x in v], "vec_id long, embedding array<double>, label int, dim string").repartition(3)
+    assert sorted(map(tuple, topk.search(frame, F.col("vec_id") % 20 == 0, k=5).collect())) == _top(v, 5)
     assert topk.search(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_topk_with_a_frequent_id(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 32)
+def test_topk_with_a_frequent_id_in_many_blocks(spark, monkeypatch):
+    for name, value in (("QUERY_CELLS", 96), ("CANDIDATE_CELLS", 192), ("LEAST_ROWS", 16), ("SAMPLE", 40)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(4)
     v = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(150)] + [(40, [1.0] * 6)] * 70
-    frame = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(3)
-    got = sorted(map(tuple, topk.search(frame, F.col("vec_id") % 20 == 0, k=7).collect()))
-    good = [(i, (64 * np.array(x)).astype(int)) for i, x in v]
-    want = [(q, n + 1, i, -s) for q, a in good if q % 20 == 0 for n, (s, i) in enumerate(sorted((-int(a @ b), i) for i, b in good if i != q)[:7])]
-    assert got == sorted(want)
+    frame = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk.search(frame, F.col("vec_id") % 20 == 0, k=7).collect())) == _top(v, 7)
+
+
+@pytest.mark.parametrize("scale", [1, 1e3, 2.0**22, 2.0**26])
+def test_topk_blocks_prune_and_stay_exact(scale, monkeypatch):
+    """Clustered vectors: most pairs leave before their product is taken; scores beyond 2**53 and 2**63 are exact or stop."""
+    monkeypatch.setattr(topk, "CANDIDATES", 100)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 64)).cumsum(1)
+    v = np.floor(scale * 64 * (centres[rng.integers(0, 20, 1500)] + 0.1 * rng.normal(size=(1500, 64)))).astype(np.int64)
+    alive = []
+    row, column, score = topk.block_top(v[:60], v, np.arange(60), np.arange(1500), np.full(60, np.iinfo(np.int64).min), 10, alive)
+    exact = v[:60].astype(object) @ v.T.astype(object)
+    want = [(q, c, max(-(2**63), min(2**63 - 1, exact[q, c]))) for q in range(60) for c in sorted((c for c in range(1500) if c != q), key=lambda c: (-max(-(2**63), min(2**63 - 1, exact[q, c])), c))[:10]]
+    assert list(zip(row.tolist(), column.tolist(), score.tolist(), strict=True)) == want
+    assert alive[-1] < 0.3 * alive[0] or scale > 1e3  # where scores stop at the range, all that reach it are alive
 
 
 def _fingerprint(text):
