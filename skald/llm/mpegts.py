@@ -3,13 +3,15 @@
 ``mux`` stores a payload losslessly: a program association table, a program map table, then the
 payload in packetised elementary stream (PES) packets of at most ``PES_BYTES`` bytes, each with a
 presentation timestamp, all in 188-byte transport packets with continuity counters; a PES packet
-opens with a random-access indicator. ``demux`` works from the stored bytes alone: it parses the
-tables and checks their CRCs, checks the continuity counter of every packet, reassembles the PES
-packets and lists timestamps with the random-access points where decoding can begin.
+opens with a random-access indicator. ``demux`` works from the stored bytes alone: it reassembles
+and parses the tables and checks their CRCs, checks the continuity counter of every packet (one
+repetition of a packet is dropped, a signalled discontinuity is no gap), reassembles the PES packets
+and lists timestamps with the random-access points where decoding can begin. ``store`` writes the
+media column to files in the shared folder; ``read_media`` reads those.
 
 Defined results: null text is the empty text, whose payload is 64 zero bytes; equal texts give
-equal streams; repeated rows and rows with null doc_id are kept; extra columns are left out;
-a null stream reads as nulls; a damaged stream raises ValueError.
+equal streams; repeated rows and rows with null doc_id are kept; extra columns are left out; no rows
+give none; a null stream reads as nulls; a damaged stream reads as nulls with its ``error``.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skald.llm.shared import text_slices, whole_text
+from skald.llm.shared import materialize, text_slices, whole_text
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID = 0x1000, 0x0100
 PRIVATE_PES, STREAM_ID = 0x06, 0xBD
+#: The clock's PID of a program that carries no clock.
+NO_CLOCK = 0x1FFF
 PES_BYTES = 8192
 #: Ticks of the 90 kHz clock that one PES packet stands for.
 TICKS = 3600
@@ -61,7 +65,7 @@ def _section(table_id: int, number: int, body: bytes) -> bytes:
 def _tables() -> bytes:
     """The two table packets with which every stream begins."""
     pat = _section(0, 1, bytes([0, 1, 0xE0 | PMT_PID >> 8, PMT_PID & 255]))
-    pmt = _section(2, 1, bytes([0xE0 | DATA_PID >> 8, DATA_PID & 255, 0xF0, 0, PRIVATE_PES, 0xE0 | DATA_PID >> 8, DATA_PID & 255, 0xF0, 0]))
+    pmt = _section(2, 1, bytes([0xE0 | NO_CLOCK >> 8, NO_CLOCK & 255, 0xF0, 0, PRIVATE_PES, 0xE0 | DATA_PID >> 8, DATA_PID & 255, 0xF0, 0]))
     packets = [bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10, 0]) + s for pid, s in ((0, pat), (PMT_PID, pmt))]
     return b"".join(p.ljust(PACKET, b"\xff") for p in packets)
 
@@ -95,13 +99,27 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _table_body(packet: bytes, table_id: int) -> bytes:
-    at = 5 + packet[4] if packet[1] & 0x40 else 4
-    size = (packet[at + 1] & 15) << 8 | packet[at + 2]
-    section = packet[at : at + 3 + size]
-    if section[:1] != bytes([table_id]) or len(section) != size + 3 or crc32_mpeg(section):
-        raise ValueError("a program table is damaged")
-    return section[8:-4]
+def _table_body(packets: np.ndarray, pid: np.ndarray, number: int, table_id: int) -> bytes:
+    """The body of the first section of PID ``number``, which may go on over several packets."""
+    data, begun = b"", False
+    for at in np.flatnonzero(pid == number).tolist():
+        packet = packets[at].tobytes()
+        if not packet[3] & 0x10:
+            continue
+        part = packet[5 + packet[4] if packet[3] & 0x20 else 4 :]
+        if packet[1] & 0x40:
+            if begun:
+                part = part[1 : 1 + part[0]]  # what is left of the section before the next one
+            else:
+                part, begun = part[1 + part[0] :], True
+        if begun:
+            data += part
+        if len(data) >= 3 and len(data) >= 3 + (size := (data[1] & 15) << 8 | data[2]):
+            section = data[: 3 + size]
+            if section[0] != table_id or size < 9 or crc32_mpeg(section):
+                break
+            return section[8:-4]
+    raise ValueError("a program table is missing or damaged")
 
 
 def demux(stream: bytes) -> dict:
@@ -112,17 +130,23 @@ def demux(stream: bytes) -> dict:
     if (packets[:, 0] != SYNC).any():
         raise ValueError("a packet has no sync byte")
     pid = (packets[:, 1] & 31).astype(np.int64) << 8 | packets[:, 2]
-    of = lambda number: stream[PACKET * int(np.flatnonzero(pid == number)[0]) :][:PACKET]
-    if not (pid == 0).any():
-        raise ValueError("no program association table")
-    pat = _table_body(of(0), 0)
+    pat = _table_body(packets, pid, 0, 0)
+    while len(pat) > 4 and not pat[0] << 8 | pat[1]:
+        pat = pat[4:]  # program 0 is the network's
     program, pmt_pid = pat[0] << 8 | pat[1], (pat[2] & 31) << 8 | pat[3]
-    pmt = _table_body(of(pmt_pid), 2)
-    kind, data_pid = pmt[4], (pmt[5] & 31) << 8 | pmt[6]
+    pmt = _table_body(packets, pid, pmt_pid, 2)
+    pmt = pmt[4 + ((pmt[2] & 15) << 8 | pmt[3]) :]  # after the program's descriptors
+    if len(pmt) < 5:
+        raise ValueError("the program has no stream")
+    kind, data_pid = pmt[0], (pmt[1] & 31) << 8 | pmt[2]
     rows = packets[pid == data_pid]
-    carries = rows[:, 3] >> 4 & 1 == 1
-    counters = rows[carries, 3] & 15
-    gaps = int((np.diff(counters.astype(np.int64)) & 15 != 1).sum())
+    rows = rows[rows[:, 3] >> 4 & 1 == 1]
+    counters = (rows[:, 3] & 15).astype(np.int64)
+    step = np.diff(counters) & 15
+    again = np.r_[False, (step == 0) & (rows[1:] == rows[:-1]).all(1)]
+    rows, step = rows[~again], step[~again[1:]]
+    signalled = (rows[1:, 3] >> 5 & 1 == 1) & (rows[1:, 4] > 0) & (rows[1:, 5] >> 7 == 1)
+    gaps = int(((step != 1) & ~signalled).sum())
     adapted = rows[:, 3] >> 5 & 1 == 1
     begin = np.where(adapted, 5 + rows[:, 4].astype(np.int64), 4)
     opens = rows[:, 1] >> 6 & 1 == 1
@@ -137,7 +161,7 @@ def demux(stream: bytes) -> dict:
     for a, b in zip(edges, edges[1:], strict=False):
         pes = elementary[a:b]
         size = pes[4] << 8 | pes[5]
-        if pes[:3] != b"\0\0\1" or len(pes) != size + 6:
+        if pes[:3] != b"\0\0\1" or len(pes) != size + 6 or len(pes) < 14:
             raise ValueError("a PES packet is damaged")
         stamps.append((pes[9] & 0x0E) << 29 | pes[10] << 22 | (pes[11] & 0xFE) << 14 | pes[12] << 7 | pes[13] >> 1)
         parts.append(pes[9 + pes[8] :])
@@ -164,16 +188,25 @@ def to_media(docs: DataFrame) -> DataFrame:
     return whole_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def store(docs: DataFrame) -> DataFrame:
+    """``to_media`` written to the shared folder, as read from there."""
+    return materialize(to_media(docs))
+
+
 def read_media(stored: DataFrame) -> DataFrame:
-    """Digests, timestamps and random-access points read back from the ``media`` column."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pts", pa.list_(pa.int64())), ("access_points", pa.list_(pa.int64()))])
+    """Digests, timestamps and random-access points read back from the ``media`` column, and what is wrong with it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pts", pa.list_(pa.int64())), ("access_points", pa.list_(pa.int64())), ("error", pa.string())])
 
     def row(media: bytes | None) -> tuple:
         if media is None:
-            return (None,) * 8
-        found = demux(media)
+            return (None,) * 9
+        size, digest = len(media), hashlib.sha256(media).hexdigest()
+        try:
+            found = demux(media)
+        except ValueError as e:
+            return (None, None, None, size, digest, None, None, None, str(e))
         payload = found["payload"]
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(found, np.frombuffer(payload, np.uint8)), found["pts"], found["access_points"])
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), size, digest, feature(found, np.frombuffer(payload, np.uint8)), found["pts"], found["access_points"], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,4 +215,4 @@ def read_media(stored: DataFrame) -> DataFrame:
                 columns = list(zip(*map(row, part.column("media").to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, access_points array<long>")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, access_points array<long>, error string")

@@ -6,11 +6,14 @@ group is packed on its own, largest pieces first: a bin has residual tokens, doc
 attention cost (the sum of squared lengths), a piece may only enter where it meets all three
 constraints, and among those bins the weighted residual norm (best fit) or the weighted dot
 product of need and residual decides. The default document and attention limits follow from the
-token capacity, so that they never cost a sequence; give smaller ones to bind.
+token capacity: as few sequences as possible are asked for, and a smaller limit would cost some.
+Their residuals still choose among bins that tokens alone leave equal or close; give smaller limits
+to bind.
 
 Defined results: null or empty text is a document of its end id alone; equal rows are packed
 each; rows with null doc_id too; no rows, no pieces; extra columns are left out. Only lengths,
-never texts, are shuffled, and no task holds more than about ``group`` pieces.
+never texts, are shuffled; pieces are dealt by their place in a written table, so that equal rows
+spread too and no task holds more than about ``group`` pieces.
 """
 
 from __future__ import annotations
@@ -25,7 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skald.llm.bpe import default_path, opened
-from skald.llm.shared import text_slices, whole_text
+from skald.llm.shared import materialize, text_slices, whole_text
+
+
+#: Of tokens, documents and attention cost.
+WEIGHTS = (1.0, 0.1, 0.1)
 
 
 def pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
@@ -48,7 +55,7 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity:
     return whole_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: np.ndarray, capacity: int, most_docs: int, most_cost: int, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, capacity: int, most_docs: int, most_cost: int, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length (in decreasing order of length, as given)."""
     limits = np.array([capacity, most_docs, most_cost], float)
     w = np.array(weights)
@@ -80,8 +87,8 @@ def best_fit(lengths: np.ndarray, capacity: int, most_docs: int, most_cost: int,
     return bins, offsets
 
 
-def pack(items: DataFrame, n_groups: int, capacity: int = 4096, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), by: str = "norm") -> DataFrame:
-    """``items`` with ``sequence_id`` and ``offset``; each of ``n_groups`` hash groups is packed by one task."""
+def pack(items: DataFrame, n_groups: int, capacity: int = 4096, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, by: str = "norm") -> DataFrame:
+    """``items``, a written table, with ``sequence_id`` and ``offset``; each of ``n_groups`` groups is packed by one task."""
     most_docs, most_cost = most_docs or capacity, most_cost or capacity * capacity
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -90,9 +97,11 @@ def pack(items: DataFrame, n_groups: int, capacity: int = 4096, most_docs: int |
         rows["sequence_id"] = (np.int64(key[0]) << 32) + bins
         return rows.drop(columns="part")
 
-    dealt = items.withColumn("part", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {n_groups})"))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))
     return dealt.groupBy("part").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = 4096, group: int = 4096, **limits) -> DataFrame:
-    return pack(pieces(docs, path, end_id, capacity), max(1, round(docs.count() / group)), capacity, **limits).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
+    items = materialize(pieces(docs, path, end_id, capacity))
+    return pack(items, max(1, round(items.count() / group)), capacity, **limits).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

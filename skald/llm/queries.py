@@ -14,7 +14,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegts.read_media(mpegts.to_media(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return mpegts.read_media(mpegts.store(table(spark, sf_dir, "documents")))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

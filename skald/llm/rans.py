@@ -3,8 +3,10 @@
 One shared frequency table, counted over all tokens of all documents, codes independent blocks
 of whole documents. Inside a block ``LANES`` interleaved coders take turns; their states are
 kept at checkpoints, so that a decoder starts at all checkpoints at once, and a checksum of the
-ids guards the block. Blocks lie in ascending doc_id order in the rows of Parquet files that
-Spark writes to any store; each row (``part, first_token, n_tokens, doc_ids, lengths, payload``) can be decoded alone with the table.
+ids guards the block. Blocks lie in ascending doc_id order in the rows of Parquet files under
+``blocks``, which Spark writes to any store; the table, its scale, the format's version and a
+checksum lie beside them under ``table``. ``read`` needs nothing but these files, and each row
+(``part, first_token, n_tokens, doc_ids, lengths, payload``) can be decoded alone with the table.
 
 Defined results: null or empty text has its end id alone; null doc_ids come first and equal
 doc_ids in the order of their texts; no documents, no blocks; a document longer than a block
@@ -20,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skald.llm.bpe import default_path, opened
-from skald.llm.shared import partitions, shared_dir, text_slices, whole_text
+from skald.llm.shared import drop, materialize, partitions, shared_dir, text_slices, whole_text
 
 SCALE = 20
 LANES = 2048
@@ -34,11 +36,18 @@ _LOW = np.uint64(1) << np.uint64(31)
 _HEAD = struct.Struct("<4sIIIII")  # magic, tokens, lanes, steps between checkpoints, checkpoints, crc32 of the ids
 
 
+VERSION = 1
+_TABLE = "version int, scale int, frequencies binary, crc32 long"
+
+
 class Table:
     """Frequencies that add up to ``2**SCALE``, at least one for each id that occurs."""
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, scaled: bool = False) -> None:
         total = 1 << SCALE
+        if scaled:  # as stored: the frequencies themselves
+            self._set(counts.astype(np.int64))
+            return
         seen = np.flatnonzero(counts)
         if len(seen) > total:
             raise ValueError("more ids than the scale has room for")
@@ -47,12 +56,27 @@ class Table:
             share = counts[seen] / counts[seen].sum() * (total - len(seen))
             freq[seen] = 1 + np.floor(share).astype(np.int64)
             freq[seen[np.argmax(counts[seen])]] += total - freq.sum()
+        self._set(freq)
+
+    def _set(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-        self.common = int(counts.argmax()) if len(counts) else 0
+        self.common = int(freq.argmax()) if len(freq) else 0
         self.packed = self.start << np.uint64(32) | self.freq
         self._symbols: np.ndarray | None = None
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row: at most ``2**SCALE`` frequencies of four bytes."""
+        freq = self.freq.astype("<u4").tobytes()
+        spark.createDataFrame([(VERSION, SCALE, bytearray(freq), zlib.crc32(freq))], _TABLE).coalesce(1).write.parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Table:
+        row = spark.read.schema(_TABLE).parquet(path).first()
+        if row is None or (row.version, row.scale) != (VERSION, SCALE) or zlib.crc32(row.frequencies) != row.crc32:
+            raise ValueError("the frequency table is damaged or of another version")
+        return cls(np.frombuffer(row.frequencies, "<u4"), scaled=True)
+
     @property
     def symbols(self) -> np.ndarray:
         if self._symbols is None:
@@ -135,10 +159,9 @@ def store_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             first = int(starts[-1] + n[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), rows.column("doc_id"), pa.array(starts), pa.array(ids, pa.binary())], schema=schema)
 
-    out = shared_dir(docs.sparkSession)
-    ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, doc_id long, first long, ids binary").write.option("compression", "zstd").parquet(out)
-    return docs.sparkSession.read.schema("part int, doc_id long, first long, ids binary").parquet(out)
+    # Texts of one doc_id may be many: the beginning of the text deals them out in the same order.
+    ordered = docs.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    return materialize(ordered.mapInArrow(run, "part int, doc_id long, first long, ids binary"))
 
 
 def id_type(path: str, end_id: int) -> str:
@@ -166,8 +189,8 @@ def count_ids(stored: DataFrame, width: str) -> Table:
     return Table(counts)
 
 
-def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, block: int = BLOCK) -> Table:
-    """Write the blocks of all documents, in ascending doc_id order, as Parquet rows under ``out``."""
+def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, block: int = BLOCK) -> None:
+    """Write the table, and the blocks of all documents in ascending doc_id order as Parquet rows, under ``out``."""
     path = path or default_path()
     width = id_type(path, end_id)
     stored = store_ids(whole_text(docs), path, end_id)
@@ -193,13 +216,14 @@ def write(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, b
         if held:
             yield blocks(held)
 
-    stored.mapInArrow(run, "part int, first_token long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary").write.option("compression", "none").parquet(out)
-    return table
+    stored.mapInArrow(run, "part int, first_token long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary").write.option("compression", "none").parquet(f"{out}/blocks")
+    table.save(docs.sparkSession, f"{out}/table")
+    drop(stored)
 
 
-def read(spark, out: str, table: Table, digest: bool = True) -> DataFrame:
-    """Read the blocks back: ``doc_id, start, n_tokens`` and ``ids_crc32``, or the ``ids`` themselves."""
-    blocks = spark.read.parquet(out)
+def read(spark: SparkSession, out: str, digest: bool = True) -> DataFrame:
+    """Read the blocks back from the files alone: ``doc_id, start, n_tokens`` and ``ids_crc32``, or the ``ids`` themselves."""
+    table, blocks = Table.load(spark, f"{out}/table"), spark.read.parquet(f"{out}/blocks")
     totals = sorted((r.part, r.n) for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row per task that wrote
     before, base = 0, {}
     for part, n in totals:
@@ -223,4 +247,5 @@ def read(spark, out: str, table: Table, digest: bool = True) -> DataFrame:
 def write_and_read(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
     spark = docs.sparkSession
     out = shared_dir(spark)
-    return read(spark, out, write(docs, out, path, end_id))
+    write(docs, out, path, end_id)
+    return read(spark, out)

@@ -69,7 +69,7 @@ def test_bpe_random_strings(library):
     assert b.encode(texts) == [np.array(library(t), "<u4").tobytes() for t in texts]
 
 
-def test_rans(spark, docs, rows, library, empty):
+def test_rans(spark, docs, rows, library, empty, tmp_path):
     got = sorted((r for r in rans.write_and_read(docs).collect()), key=lambda r: r.start)
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     at = 0
@@ -78,6 +78,9 @@ def test_rans(spark, docs, rows, library, empty):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert rans.write_and_read(empty).count() == 0
+    rans.write(docs, f"file://{tmp_path}/ids")  # read with nothing but the files, in another session
+    again = rans.read(spark.newSession(), f"file://{tmp_path}/ids").collect()
+    assert sorted(map(tuple, again), key=key) == sorted(map(tuple, got), key=key)
     ids = np.minimum(np.random.default_rng(1).zipf(1.3, 9999), 500)
     table = rans.Table(np.bincount(ids))
     block = rans.encode_block(ids, table, lanes=16, every=8)
@@ -88,7 +91,8 @@ def test_rans(spark, docs, rows, library, empty):
 
 def test_packing(docs, rows, library, empty):
     got = packing.pack_documents(docs, group=8).collect()
-    assert sorted((r.doc_id or -1, r.length) for r in got) == sorted((i or -1, len(p)) for i, x in rows for ids in [[*library(x), 1]] for p in [ids[k : k + 4096] for k in range(0, len(ids), 4096)])
+    want = [(i or -1, k, at, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for i, x in rows for ids in [[*library(x), 1]] for k, at in enumerate(range(0, len(ids), 4096)) for p in [ids[at : at + 4096]]]
+    assert sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -105,14 +109,33 @@ def test_packing(docs, rows, library, empty):
     assert b.tolist() == [0, 1, 2]
 
 
-def test_mpegts(docs, rows, empty):
-    got = mpegts.read_media(mpegts.to_media(docs)).collect()
+def test_packing_fills_sequences_and_weighs_all_capacities():
+    rng = np.random.default_rng(3)
+    lengths = np.sort(np.minimum(4096, (np.exp(rng.normal(5.5, 1.2, 4096))).astype(int) + 1))[::-1]
+    b, _ = packing.best_fit(lengths, 4096, 4096, 4096**2)
+    assert np.bincount(b, lengths).max() <= 4096 and b.max() + 1 <= 1.01 * lengths.sum() / 4096 + 1
+    # Before the last piece both bins have two tokens left, the first fewer of its attention cost, the second of its documents.
+    chosen = {w: packing.best_fit(np.array([8, 5, 3, 2]), 10, 10, 100, weights=w)[0].tolist()[-1] for w in ((1.0, 1.0, 0.0), (1.0, 0.0, 1.0))}
+    assert chosen == {(1.0, 1.0, 0.0): 1, (1.0, 0.0, 1.0): 0}
+
+
+def test_mpegts(spark, docs, rows, empty):
+    got = mpegts.read_media(mpegts.store(docs)).collect()
     payload = lambda x: (lambda r: r + b"\0" * (-len(r) % 64 or (0 if r else 64)))((x or "").encode())
     assert sorted((r.doc_id or -1, r.payload_sha256, r.tail_crc32) for r in got) == sorted((i or -1, hashlib.sha256(payload(x)).hexdigest(), zlib.crc32(payload(x)[-64:])) for i, x in rows)
     stream = mpegts.mux(bytes(20000))
     assert mpegts.demux(stream)["pts"] == [0, 3600, 7200] and mpegts.demux(stream)["access_points"] == [0, 1, 2]
+    packets = [stream[k : k + 188] for k in range(0, len(stream), 188)]
     with pytest.raises(ValueError):
-        mpegts.demux(stream[: 188 * 9] + stream[188 * 10 :])
+        mpegts.demux(b"".join(packets[:9] + packets[10:]))
+    assert mpegts.demux(b"".join(packets[:9] + packets[8:]))["payload"] == bytes(20000)  # one packet sent twice
+    flagged = packets[46][:5] + bytes([packets[46][5] | 0x80]) + packets[46][6:]
+    assert packets[46][3] & 0x20 and mpegts.demux(b"".join([*packets[:46], flagged[:3] + bytes([flagged[3] & 0xF0 | 13]) + flagged[4:]]))["payload"][:8192] == bytes(8192)
+    section = mpegts._section(2, 1, bytes([0xFF, 0xFF, 0xF0, 200]) + bytes(200) + bytes([6, 0xE1, 0, 0xF0, 0]))
+    long = bytes([0x47, 0x50, 0, 0x10, 0]) + section[:183], bytes([0x47, 0x10, 0, 0x11]) + section[183:].ljust(184, b"\xff")
+    assert mpegts.demux(b"".join([packets[0], *long, *packets[2:]]))["payload"] == bytes(20000)
+    damaged = spark.createDataFrame([(1, 5, bytearray(stream[:-188])), (2, 5, None), (3, 5, bytearray(b"x")), (4, 5, bytearray(stream))], "doc_id long, n_bytes long, media binary")
+    assert [(r.doc_id, r.payload_bytes, r.error is None) for r in mpegts.read_media(damaged).orderBy("doc_id").collect()] == [(1, None, False), (2, None, True), (3, None, False), (4, 20000, True)]
     assert mpegts.read_media(mpegts.to_media(empty)).count() == 0
 
 
