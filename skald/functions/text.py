@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +56,26 @@ def stem(t: Column) -> Column:
     return t
 
 
+def stemmed(rows: DataFrame, raw: str, where: Column, to: str) -> DataFrame:
+    """``rows`` with ``to``: the stem of ``raw`` where ``where`` holds, else ``raw`` itself.
+
+    For whole tables: endings are cut by plain string functions, a projection a step, so that each
+    result is computed once and no regular expression runs; ``stem`` gives the same."""
+    ends = lambda c, *endings: reduce(Column.__or__, (F.endswith(c, F.lit(e)) for e in endings))
+    cut = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
+    t, a, s, b = F.col(raw), F.col("_a"), F.col("_s"), F.col("_b")
+    rows = rows.withColumn("_a", F.when((F.length(t) > 3) & ends(t, "ses", "xes", "zes", "ches", "shes"), cut(t, 2)).otherwise(t))
+    rows = rows.withColumn("_s", F.when((F.length(a) > 3) & ends(a, "s") & ~ends(a, "ss"), cut(a, 1)).otherwise(a))
+    rows = rows.withColumn("_b", F.when(ends(s, "ing") & (F.length(s) > 5), cut(s, 3)).when(ends(s, "ed") & (F.length(s) > 4), cut(s, 2)))
+    doubled = F.substring(b, -1, 1) == F.substring(b, -2, 1)
+    found = F.when(~where | (F.length(t) <= 3), t).when(ends(t, "ies") & (F.length(t) > 4), F.concat(cut(t, 3), F.lit("y"))).when(ends(t, "sses") & (F.length(t) > 4), cut(t, 2)).when(b.isNull(), s).when((F.length(b) > 1) & doubled, cut(b, 1)).otherwise(b)
+    return rows.withColumn(to, found).drop("_a", "_s", "_b")
+
+
 def exploded_tokens(docs: DataFrame, text: str, lang: str = "lang", *keep: str) -> DataFrame:
     """One row per token of ``text``: ``keep``, ``pos`` (after stopwords went) and the stemmed ``token``."""
     rows = docs.select(*keep, F.col(lang).alias("_lang"), F.posexplode(index_tokens(F.col(text), F.col(lang))).alias("pos", "_raw"))
-    return rows.select(*keep, "pos", F.when(F.col("_lang") == "en", stem(F.col("_raw"))).otherwise(F.col("_raw")).alias("token"))
+    return stemmed(rows, "_raw", F.coalesce(F.col("_lang") == "en", F.lit(False)), "token").select(*keep, "pos", "token")
 
 
 def host_of(url: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skald.functions.text import index_tokens, raw_tokens, stem
+from skald.functions.text import index_tokens, raw_tokens, stemmed
 
 FIELDS = ("title", "snippet", "body", "url", "headings")
 COLUMNS = ("id", "title", "url", "snippet", "body", "headings", "source", "date", "lang")
@@ -17,8 +19,8 @@ def tokens_of(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     The fields are exploded together, so that the table is read and stemmed in one pass."""
     words = [F.struct(F.lit(f).alias("field"), (raw_tokens(F.col(f)) if f == "url" else index_tokens(F.col(f), F.col("lang"))).alias("words")) for f in fields]
     rows = docs.select("id", "lang", F.explode(F.array(*words)).alias("f")).select("id", "lang", F.col("f.field").alias("field"), F.posexplode("f.words").alias("pos", "raw"))
-    stemmed = (F.col("lang") == "en") & (F.col("field") != "url")
-    return rows.select("id", "field", "pos", F.when(stemmed, stem(F.col("raw"))).otherwise(F.col("raw")).alias("token"))
+    english = F.coalesce((F.col("lang") == "en") & (F.col("field") != "url"), F.lit(False))
+    return stemmed(rows, "raw", english, "token").select("id", "field", "pos", "token")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -26,14 +28,53 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens_of(docs).groupBy("field", "token", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """``id, token`` and a term frequency per field: one aggregation with map-side combination."""
+#: Positions of a field lie beyond those of the fields before it.
+FIELD_BITS = 26
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """``token, id``, a term frequency per field and ``places``, the sorted positions over all fields: one aggregation."""
+    number = sum((F.when(F.col("field") == f, F.lit(i << FIELD_BITS)).otherwise(0) for i, f in enumerate(FIELDS)), F.lit(0))
+    rows = tokens_of(docs).select("token", "id", "field", (number + F.col("pos")).alias("place"))
     counts = [F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in FIELDS]
-    return tokens_of(docs).groupBy("id", "token").agg(*counts)
+    return rows.groupBy("token", "id").agg(*counts, F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def document_frequencies(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("token").agg(F.count("*").alias("df"))
+
+
+@dataclass
+class Index:
+    """The entries, the vocabulary (``token, df``) and the number of documents.
+
+    A stored index is three tables under one folder: entries in ranges of (token, id), vocabulary in
+    ranges of token, both sorted, so that a query for some tokens reads only the files and row
+    groups whose statistics admit them; any session can open it."""
+
+    entries: DataFrame
+    vocabulary: DataFrame
+    total: int
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Index:
+        """An index that is not stored: computed from ``docs`` by every query."""
+        rows = entries(docs)
+        return cls(rows, document_frequencies(rows), docs.count())
 
+    @classmethod
+    def store(cls, docs: DataFrame, path: str) -> Index:
+        spark = docs.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        entries(docs).repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/entries")
+        rows = spark.read.parquet(f"{path}/entries")
+        document_frequencies(rows.select("token")).repartitionByRange(parts, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/vocabulary")
+        docs.agg(F.count("*").alias("total")).write.mode("overwrite").parquet(f"{path}/total")
+        return cls.open(spark, path)
 
-def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("token").agg(F.count("*").alias("df"))
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/total").first().total)
 
 
 def upsert(docs: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:

@@ -70,6 +70,7 @@ def parse(q: str) -> Parsed:
     return out
 
 
+# Fixed values inside: the cue phrases, the words that texts are searched for, the boosts.
 def intents(q: str) -> list[tuple[list[str], list[str], float]]:
     qn = q.strip().lower()
     words, found = qn.split(), []

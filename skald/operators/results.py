@@ -38,9 +38,11 @@ def transport_results(page: DataFrame) -> DataFrame:
     return page.select(unescaped(_text("title")).alias("title"), "url", "snippet", "source", "meta")
 
 
-def results(found: DataFrame, kind: str, query: str, number: int = 1, sort: str = "relevance", per_source: int = search.PER_SOURCE) -> DataFrame:
-    """Page ``number`` of the ranked and filtered rows ``found``, diversified, in the layout of ``kind``."""
+def results(found: DataFrame, kind: str, query: str, number: int = 1, sort: str = "relevance", per_source: int = search.PER_SOURCE, docs: DataFrame | None = None) -> DataFrame:
+    """Page ``number`` of the ranked and filtered rows ``found``, diversified, in the layout of ``kind``; ``docs`` hold its text."""
     page = search.page_of(search.diversified(found, per_source, sort), number, SIZES.get(kind, search.PAGE), sort)
+    if docs is not None:
+        page = search.with_documents(page, docs).orderBy(*search.rank_order(sort))
     if kind in ("all", "news"):
         return web_results(page, query, plain=kind == "news")
     return {"images": image_results, "videos": video_results, "transport": transport_results}[kind](page)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from skald.operators import index
 from skald.operators.expand import expand
 from skald.operators.query import Parsed, parse, tokens
 
+# Field weights, hits kept, hits of a source, hits on a page.
 WEIGHTS = {"title": 2.0, "snippet": 1.0, "body": 0.7, "url": 1.2, "headings": 1.4}
 CAP, PER_SOURCE, PAGE = 10_000, 3, 10
 
@@ -38,60 +40,78 @@ def prior(source: Column, priors: dict[str, float]) -> Column:
     return F.greatest(F.lit(1.0), F.lit(1.0), *rules)
 
 
-def candidates(docs: DataFrame, tf: DataFrame, variants: DataFrame, q: Parsed) -> DataFrame:
-    """Ids that have every required token's variant in title or snippet (or any optional one's), and no negated one's."""
-    head = tf.where((F.col("tf_title") > 0) | (F.col("tf_snippet") > 0)).select("id", "token")
-    hits = head.join(variants, "token")
-    needed = q.required or q.optional
-    if needed:
-        asked = hits.where(F.col("q_token").isin(needed)).groupBy("id").agg(F.count_distinct("q_token").alias("n"))
-        found = asked.where(F.col("n") == len(q.required)).select("id") if q.required else asked.select("id")
-    else:
-        found = docs.select("id").distinct()
-    if q.negated:
-        found = found.join(hits.where(F.col("q_token").isin(q.negated)).select("id"), "id", "left_anti")
-    return found
+#: Variants up to which a query's tokens are pushed to the scan as literals and its variants are broadcast.
+MOST_VARIANTS = 10_000
+
+
+def variants_of(idx: index.Index, asked: list[str], settings: Settings) -> tuple[DataFrame, list[str] | None]:
+    """``q_token, token, mult, df`` of the variants that documents have, and their tokens unless they are too many to push down."""
+    spark = idx.vocabulary.sparkSession
+    found = expand(idx.vocabulary, asked, settings.synonyms, settings.prefix, settings.fuzzy, settings.least_prefix)
+    known = found.join(idx.vocabulary, "token").select("q_token", "token", "mult", "df")
+    some = known.limit(MOST_VARIANTS + 1).collect()
+    if len(some) > MOST_VARIANTS:
+        return known, None
+    rows = spark.createDataFrame(some, "q_token string, token string, mult double, df long")
+    return F.broadcast(rows), sorted({r.token for r in some})
+
+
+def candidates(docs: DataFrame, hits: DataFrame, q: Parsed) -> DataFrame:
+    """Ids of the documents that a query without required and optional tokens asks for: all without a negated token's variant in title or snippet."""
+    return docs.select("id").distinct().join(hits.where(F.col("head") & F.col("q_token").isin(q.negated)).select("id"), "id", "left_anti")
+
 
+def scores(docs: DataFrame, q: Parsed, settings: Settings, idx: index.Index | None = None) -> DataFrame:
+    """``id, score`` of every document that scores.
 
-def scores(docs: DataFrame, q: Parsed, settings: Settings, tf: DataFrame | None = None) -> DataFrame:
-    """``id, score`` of every document that scores."""
-    tf = index.frequencies(docs) if tf is None else tf
-    vocab = index.document_frequencies(tf)
+    One aggregation per document decides whether it is a candidate (every required token's variant,
+    or any optional one's, and no negated one's, in title or snippet) and adds up its weights."""
+    idx = idx or index.Index.of(docs)
     asked = sorted({*q.required, *q.optional, *q.negated, *q.scored})
-    variants = expand(vocab.select("token"), asked, settings.synonyms, settings.prefix, settings.fuzzy, settings.least_prefix)
-    found = candidates(docs, tf, variants, q)
-    total = docs.agg(F.count("*").alias("N"))
-    scored = variants.where(F.col("q_token").isin(q.scored or [""]))
+    variants, pushed = variants_of(idx, asked, settings)
+    rows = idx.entries if pushed is None else idx.entries.where(F.col("token").isin(pushed))
     weight = sum((F.col(f"tf_{f}") * F.lit(settings.weights[f]) for f in index.FIELDS), F.lit(0.0))
-    idf = F.log(1 + F.col("N") / (1 + F.col("df")))
-    rows = tf.join(scored, "token").join(vocab, "token").join(found, "id", "left_semi").crossJoin(total)  # one row: the corpus size
-    w = rows.select("id", (weight * idf * F.col("mult")).alias("w"))
+    idf = F.log(1 + F.lit(idx.total) / (1 + F.col("df")))
+    head = (F.col("tf_title") > 0) | (F.col("tf_snippet") > 0)
+    hits = rows.join(variants, "token").select("id", "q_token", head.alias("head"), (weight * idf * F.col("mult")).alias("w"))
+    needed = q.required or q.optional
+    has = F.collect_set(F.when(F.col("head"), F.col("q_token"))).alias("has")
     # Sums run over the sorted weights, so that a document's score never depends on task order.
-    sorted_w = F.array_sort(F.collect_list("w"))
-    sums = w.groupBy("id").agg(sorted_w.alias("ws")).select("id", F.aggregate("ws", F.lit(0.0), lambda a, x: a + x).alias("s"), F.aggregate("ws", F.lit(0.0), lambda a, x: a + x * x).alias("n"))
-    boost = boosts(docs, found, q)
+    ws = F.array_sort(F.collect_list(F.when(F.col("q_token").isin(q.scored), F.col("w")))).alias("ws")
+    each = hits.groupBy("id").agg(has, ws)
+    if needed:
+        every = q.required or [None]
+        wanted = F.arrays_overlap("has", F.array(*map(F.lit, needed)))
+        if q.required:
+            wanted = reduce(Column.__and__, (F.array_contains("has", t) for t in every))
+        each = each.where(wanted)
+    if q.negated:
+        each = each.where(~F.arrays_overlap("has", F.array(*map(F.lit, q.negated))))
+    sums = each.where(F.size("ws") > 0).select("id", F.aggregate("ws", F.lit(0.0), lambda a, x: a + x).alias("s"), F.aggregate("ws", F.lit(0.0), lambda a, x: a + x * x).alias("n"))
+    boost = boosts(docs, each.select("id") if needed else candidates(docs, hits, q), q, idx)
     both = sums if boost is None else sums.join(boost, "id", "full_outer")
     b = F.coalesce("boost", F.lit(0.0)) if boost is not None else F.lit(0.0)
     s, n = F.coalesce("s", F.lit(0.0)) + b, F.coalesce("n", F.lit(0.0))
     return both.select("id", F.when(n > 0, s / F.sqrt(n)).otherwise(s).alias("score"))
 
 
-def _has(part: str):
-    return lambda x: x.contains(part)
+def phrase_hits(idx: index.Index, words: list[str]) -> DataFrame:
+    """Ids of the documents that have ``words`` at consecutive positions of one field."""
+    rows = idx.entries.where(F.col("token").isin(words)).select("id", "token", "places")
+    each = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("at"))
+    places = lambda w: F.coalesce(F.element_at("at", F.lit(w)), F.array().cast("array<int>"))
+    follows = lambda p: reduce(Column.__and__, (F.array_contains(places(w), p + i) for i, w in enumerate(words) if i), F.lit(True))
+    return each.where(F.exists(places(words[0]), follows)).select("id")
 
 
-def boosts(docs: DataFrame, found: DataFrame, q: Parsed) -> DataFrame | None:
-    """``id, boost`` of phrases and travel intents, over candidates only."""
+def boosts(docs: DataFrame, found: DataFrame, q: Parsed, idx: index.Index) -> DataFrame | None:
+    """``id, boost`` of phrases and travel intents, over the candidates ``found`` only."""
     parts: list[Column] = []
-    phrases = [(p, t) for p in q.phrases if (t := tokens(p))]
-    rows = docs
-    if phrases:
-        joined = index.tokens_of(docs.join(found, "id", "left_semi")).groupBy("id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("line"))
-        lines = joined.groupBy("id").agg(F.collect_list(F.concat(F.lit(" "), "line", F.lit(" "))).alias("lines"))
-        rows = docs.join(lines, "id", "left")
-        for phrase, words in phrases:
-            exact = F.exists(F.coalesce("lines", F.array().cast("array<string>")), _has(f" {' '.join(words)} "))
-            parts.append(F.when(exact, 2.0).when(F.contains(whole_text(), F.lit(phrase.lower())), 0.5).otherwise(0.0))
+    rows = docs.join(found, "id", "left_semi")
+    for n, phrase in enumerate(p for p in q.phrases if tokens(p)):
+        exact = phrase_hits(idx, tokens(phrase)).withColumn(f"_phrase{n}", F.lit(True))
+        rows = rows.join(exact, "id", "left")
+        parts.append(F.when(F.col(f"_phrase{n}"), 2.0).when(F.contains(whole_text(), F.lit(phrase.lower())), 0.5).otherwise(0.0))
     for some, every, value in q.intents:
         text = whole_text()
         any_of = F.lit(False)
@@ -102,7 +122,7 @@ def boosts(docs: DataFrame, found: DataFrame, q: Parsed) -> DataFrame | None:
         parts.append(F.when(any_of, value).otherwise(0.0))
     if not parts:
         return None
-    return rows.join(found, "id", "left_semi").select("id", sum(parts, F.lit(0.0)).alias("boost")).where("boost > 0")
+    return rows.select("id", sum(parts, F.lit(0.0)).alias("boost")).where("boost > 0")
 
 
 def rank_order(sort: str = "relevance") -> list[Column]:
@@ -110,15 +130,22 @@ def rank_order(sort: str = "relevance") -> list[Column]:
     return [F.col("date_ts").desc_nulls_last(), *base] if sort == "latest" else base
 
 
-def search(docs: DataFrame, text: str, settings: Settings | None = None, tf: DataFrame | None = None) -> DataFrame:
-    """Documents with ``score``, at most ``settings.cap`` of them; text is fetched after the cap."""
+#: What filters, facets and order need; everything else of a document is fetched for a page.
+NARROW = ("url", "source", "lang", "date", "meta")
+
+
+def search(docs: DataFrame, text: str, settings: Settings | None = None, idx: index.Index | None = None) -> DataFrame:
+    """``id, score``, the narrow columns and ``date_ts`` of the documents found, at most ``settings.cap`` of them."""
     settings = settings or Settings()
-    q = parse(text)
-    found = scores(docs, q, settings, tf).join(docs.select("id", "url", "source"), "id")
-    found = found.withColumn("score", F.col("score") * prior(F.col("source"), settings.priors))
-    if settings.cap:
-        found = found.orderBy(*rank_order()).limit(settings.cap)
-    return docs.join(found.select("id", "score"), "id").withColumn("date_ts", parse_date(F.col("date")))
+    narrow = docs.select("id", *(c for c in NARROW if c in docs.columns))
+    found = scores(docs, parse(text), settings, idx).join(narrow, "id")
+    found = found.withColumn("score", F.col("score") * prior(F.col("source"), settings.priors)).withColumn("date_ts", parse_date(F.col("date")))
+    return found.orderBy(*rank_order()).limit(settings.cap) if settings.cap else found
+
+
+def with_documents(page: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of a page with all columns of their documents."""
+    return page.join(docs.select("id", *(c for c in docs.columns if c not in page.columns)), "id")
 
 
 def filtered(results: DataFrame, source: str = "", lang: str = "", from_: str = "", to: str = "", meta: dict[str, str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from skald.operators import crawl, expand, index, results, search
 from skald.operators.highlight import highlighted
 from skald.operators.query import parse
 from skald.plans import oracles as sql
-from skald.plans.corpora import NOW, frequencies, parts, table, web
+from skald.plans.corpora import NOW, indexed, parts, table, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +37,7 @@ def hits(rows: DataFrame, n: int = 10) -> DataFrame:
 
 
 def _searching(name: str, docs, docs_sql: str, q: str, boost: str = "0.0", settings: search.Settings | None = None, n: int = 10) -> None:
-    QUERIES[name] = lambda spark, sf_dir: hits(search.search(docs(spark, sf_dir), q, settings, frequencies(spark, sf_dir, docs.__name__)), n)
+    QUERIES[name] = lambda spark, sf_dir: hits(search.search(docs(spark, sf_dir), q, settings, indexed(spark, sf_dir, docs.__name__)), n)
     ORACLES[name] = sql.top(sql.search(parse(q), docs_sql, settings, boost), n)
 
 
@@ -78,11 +78,12 @@ _RES = sql.search(parse(TERM), sql.WEB)
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Filters, facets and totals count every match, as their SQL does: without the reference's cap.
-    return search.search(web(spark, sf_dir), TERM, search.Settings(cap=None), frequencies(spark, sf_dir, "web"))
+    return search.search(web(spark, sf_dir), TERM, search.Settings(cap=None), indexed(spark, sf_dir, "web"))
 
 
 def _on_results(name: str, f, oracle: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: f(_results(spark, sf_dir))
+    wide = f.__code__.co_argcount == 2  # takes the documents too, to fetch a page's text
+    QUERIES[name] = lambda spark, sf_dir: f(_results(spark, sf_dir), web(spark, sf_dir)) if wide else f(_results(spark, sf_dir))
     ORACLES[name] = oracle
 
 
@@ -96,11 +97,11 @@ _on_results("sort_latest", lambda r: search.page_of(r, 1, 40, "latest").select("
 _on_results("diversify_top3", lambda r: hits(search.diversified(r), 100), sql.top(_RES, 100, per_source=3))
 _on_results("page_2", lambda r: search.page_of(search.diversified(r), 2).select("id", F.round("score", 6).alias("score")), sql.top(_RES, 10, 10, per_source=3))
 _on_results("total_after_diversification", lambda r: search.diversified(r).agg(F.count("*").alias("n")), f"{_RES} SELECT count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY source ORDER BY {sql.ORDER}) AS k FROM res) WHERE k <= 3")
-_on_results("escape_html", lambda r: search.page_of(r).select("id", text.escape_html(F.col("snippet")).alias("escaped")), f"{_RES} SELECT id, replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM (SELECT * FROM res ORDER BY {sql.ORDER} LIMIT 10)")
-_on_results("results_images", lambda r: results.results(r, "images", TERM), f"{_RES}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {sql.ORDER}) AS k FROM res) WHERE k <= 3) SELECT title, snippet AS \"thumbnailUrl\", url AS \"imageUrl\", source FROM p ORDER BY {sql.ORDER} LIMIT 30")
+_on_results("escape_html", lambda r, docs: search.with_documents(search.page_of(r), docs).select("id", text.escape_html(F.col("snippet")).alias("escaped")), f"{_RES} SELECT id, replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM (SELECT * FROM res ORDER BY {sql.ORDER} LIMIT 10)")
+_on_results("results_images", lambda r, docs: results.results(r, "images", TERM, docs=docs), f"{_RES}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {sql.ORDER}) AS k FROM res) WHERE k <= 3) SELECT title, snippet AS \"thumbnailUrl\", url AS \"imageUrl\", source FROM p ORDER BY {sql.ORDER} LIMIT 30")
 for _kind in ("all", "news", "videos"):
-    QUERIES[f"results_{_kind}"] = lambda spark, sf_dir, kind=_kind: results.results(_results(spark, sf_dir), kind, TERM)
-QUERIES["highlight"] = lambda spark, sf_dir: search.page_of(_results(spark, sf_dir)).select("id", highlighted(F.col("snippet"), TERM).alias("marked"))
+    QUERIES[f"results_{_kind}"] = lambda spark, sf_dir, kind=_kind: results.results(_results(spark, sf_dir), kind, TERM, docs=web(spark, sf_dir))
+QUERIES["highlight"] = lambda spark, sf_dir: search.with_documents(search.page_of(_results(spark, sf_dir)), web(spark, sf_dir)).select("id", highlighted(F.col("snippet"), TERM).alias("marked"))
 
 
 # Text functions.
@@ -157,12 +158,12 @@ def postings_positions(spark, sf_dir):
 
 @query(f"{_TOK}, {sql.TF} SELECT token, df FROM df")
 def doc_freq(spark, sf_dir):
-    return index.document_frequencies(frequencies(spark, sf_dir, "web"))
+    return indexed(spark, sf_dir, "web").vocabulary.select("token", "df")
 
 
 @query(f"{_TOK} SELECT DISTINCT token FROM tok")
 def vocabulary(spark, sf_dir):
-    return index.tokens_of(web(spark, sf_dir)).select("token").distinct()
+    return indexed(spark, sf_dir, "web").vocabulary.select("token")
 
 
 @query("SELECT count(*) AS n FROM documents")
@@ -184,7 +185,7 @@ _VOCAB = f"WITH {sql.PARTS}, {sql.all_tokens()}, {sql.TF}"
 
 
 def _expansion(name: str, asked: list[str], synonyms: dict | None = None, **switches) -> None:
-    QUERIES[name] = lambda spark, sf_dir: expand.expand(index.document_frequencies(frequencies(spark, sf_dir, "parts")), asked, synonyms, **switches)
+    QUERIES[name] = lambda spark, sf_dir: expand.expand(indexed(spark, sf_dir, "parts").vocabulary, asked, synonyms, **switches)
     ORACLES[name] = f"{_VOCAB}, {sql.variants(asked, synonyms)} SELECT q_token, token, mult FROM var"
 
 
@@ -197,14 +198,14 @@ _expansion("expand_priority", ["red", "ring", "blu", "ho"], {"red": ["red", "red
 # Transport fields, fallback.
 @query(sql.top(sql.search(parse("ring"), sql.PARTS), 30, where="lower(m_from) = 'port3' AND lower(m_to) = 'port1' AND contains(m_depart, '2024-03')"))
 def transport_meta_filter(spark, sf_dir):
-    found = search.search(parts(spark, sf_dir), "ring", tf=frequencies(spark, sf_dir, "parts"))
+    found = search.search(parts(spark, sf_dir), "ring", idx=indexed(spark, sf_dir, "parts"))
     return hits(search.filtered(found, meta={"from": " PORT3", "to": "port1", "depart": "2024-03"}), 30)
 
 
 @query(sql.top(sql.search(parse("ring"), sql.PARTS), 20))
 def news_fallback(spark, sf_dir):
-    none = search.search(web(spark, sf_dir), "qqqqzzzz", tf=frequencies(spark, sf_dir, "web"))
-    other = search.search(parts(spark, sf_dir), "ring", tf=frequencies(spark, sf_dir, "parts")).drop("meta")
+    none = search.search(web(spark, sf_dir), "qqqqzzzz", idx=indexed(spark, sf_dir, "web"))
+    other = search.search(parts(spark, sf_dir), "ring", idx=indexed(spark, sf_dir, "parts")).drop("meta")
     return hits(search.with_fallback(none, other.select(none.columns)), 20)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from skald.operators import index
 
@@ -31,15 +33,25 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(number.alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("https://parts.example.com/"), number).alias("url"), F.col("p_type").alias("snippet"), F.lit("").alias("body"), F.lit("").alias("headings"), F.col("p_brand").alias("source"), F.lit("2024-01-01").alias("date"), F.lit("en").alias("lang"), meta.alias("meta"))
 
 
-_BUILT: dict[tuple[str, str, str], DataFrame] = {}
-
+_BUILT: dict[tuple[str, str, str], str] = {}
 
-def frequencies(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """The index of a vertical, built once for each session and input and then read by every query.
 
-    It is persisted to memory and disk: lost partitions are computed again from the input."""
+def indexed(spark: SparkSession, sf_dir: str, kind: str) -> index.Index:
+    """The index of a vertical: stored once for each session and input in the shared folder, opened by every query."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _BUILT:
-        docs = {"web": web, "parts": parts}[kind](spark, sf_dir)
-        _BUILT[key] = index.frequencies(docs).persist(StorageLevel.MEMORY_AND_DISK)
-    return _BUILT[key]
+        path = f"{shared_folder(spark)}/skald-index-{uuid.uuid4().hex}"
+        index.Index.store({"web": web, "parts": parts}[kind](spark, sf_dir), path)
+        _BUILT[key] = path
+    return index.Index.open(spark, _BUILT[key])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; in local mode a temporary folder where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="skald-index-")
