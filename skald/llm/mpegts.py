@@ -190,7 +190,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 def store(docs: DataFrame) -> DataFrame:
     """``to_media`` written to the shared folder, as read from there."""
-    return materialize(to_media(docs))
+    return materialize(to_media(docs), codec="zstd")
 
 
 def read_media(stored: DataFrame) -> DataFrame:

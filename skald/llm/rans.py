@@ -161,7 +161,7 @@ def store_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     # Texts of one doc_id may be many: the beginning of the text deals them out in the same order.
     ordered = docs.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, "part int, doc_id long, first long, ids binary"))
+    return materialize(ordered.mapInArrow(run, "part int, doc_id long, first long, ids binary"), codec="zstd")
 
 
 def id_type(path: str, end_id: int) -> str:

@@ -44,10 +44,10 @@ def releasing(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def materialize(df: DataFrame, *used: DataFrame, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, *used: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at files that survive lost executors.
 
-    Materialized tables ``used``, which nothing else needs, are emptied once ``df`` is written."""
+    ``zstd`` makes large texts and media smaller, at the cost of memory outside the heap for each writer. Materialized tables ``used``, which nothing else needs, are emptied once ``df`` is written."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     with releasing(spark):
         df.write.option("compression", codec).parquet(path)

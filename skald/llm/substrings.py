@@ -240,7 +240,7 @@ def repeated_spans(docs: DataFrame, index: FingerprintIndex, found: DataFrame) -
     later = materialize(found.join(first, _KEY).where(~F.struct("doc_id", "span").eqNullSafe(F.col("first"))).select("doc_id", "span"))
     count = F.pmod("span", F.lit(32))
     start = F.shiftright("span", 5)
-    spans = later.select("doc_id", start.alias("a"), (start + count + WINDOW - 1).alias("b"))
+    spans = later.select("doc_id", start.alias("a"), (start + count + WINDOW - 1).cast("long").alias("b"))
     several = materialize(contexts.groupBy("h").agg((F.min("ctx") != F.max("ctx")).alias("several"), F.max("new").alias("new")).where("several and new").select("h"))
     wanted = contexts.join(several, "h", "left_semi").groupBy(F.col("first.doc_id").alias("d")).agg(F.collect_set("first.span").alias("spans"))
     windows = materialize(_windows(docs, wanted, index.salt), several)
@@ -258,21 +258,21 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
             out: list[list] = [[], [], []]
-            for text, gone in zip(texts, rows.column("gone").to_pylist(), strict=True):
-                words = text.encode().split()
-                left = words
-                if gone:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for g in gone:
-                        if g["b"] <= len(words):
-                            edge[g["a"]] += 1
-                            edge[g["b"]] -= 1
+            for k, text in enumerate(texts):
+                words = left = text.encode().split()
+                gone = rows.column("gone")[k].values  # Arrow numbers, never Python objects
+                if gone is not None and len(gone):
+                    both = gone.to_numpy()
+                    begin, end = both >> 32, both & 0xFFFFFFFF
+                    inside = end <= len(words)
+                    edge = np.bincount(begin[inside], minlength=len(words) + 1) - np.bincount(end[inside], minlength=len(words) + 1)
                     left = [w for w, c in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
                 for column, value in zip(out, (len(words), len(words) - len(left), b" ".join(left)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], schema=schema)
 
-    gone = spans.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    packed = F.shiftleft(F.col("a"), 32).bitwiseOR(F.col("b"))
+    gone = materialize(spans.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(packed).alias("gone")))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
@@ -291,4 +291,6 @@ def deduplicate(docs: DataFrame, batches: int = 3, path: str | None = None) -> D
         found.append(repeated_spans(upto, index, index.add(upto if low is None else upto.where(F.col("doc_id") > low))))
     if path is None:
         index._empty(index.runs)
-    return without_spans(docs, reduce(DataFrame.unionByName, found))
+    kept = without_spans(docs, reduce(DataFrame.unionByName, found))
+    drop(*found)
+    return kept
