@@ -127,7 +127,9 @@ def page_media(pages: DataFrame, now: str) -> DataFrame:
     media = rows.select(F.when(F.col("kind") == "embed", "video").otherwise(F.col("kind")).alias("kind"), doc_id_of(F.col("watch")).alias("id"), "title", F.col("watch").alias("url"), "thumb", crawl_host(F.col("watch")).alias("source"), F.lit(now).alias("date"))
     published = meta_property(F.col("html"), "article:published_time")
     news = base.where(F.lower(meta_property(F.col("html"), "og:type")) == "article").select(F.lit("news").alias("kind"), doc_id_of(F.col("url")).alias("id"), "title", "url", F.lit("").alias("thumb"), crawl_host(F.col("url")).alias("source"), F.coalesce(F.nullif(published, F.lit("")), F.lit(now)).alias("date"))
-    return media.unionByName(news)
+    scripts = base.select(F.explode(F.regexp_extract_all(F.col("html"), F.lit(JSON_LD), 1)).alias("script"))
+    videos = json_ld_videos(scripts, "script", now).select(F.lit("video").alias("kind"), "id", "title", "url", "thumb", "source", "date")
+    return media.unionByName(news).unionByName(videos)
 
 
 def json_ld_videos(raw: DataFrame, column: str, now: str) -> DataFrame:
@@ -146,5 +148,6 @@ def json_ld_videos(raw: DataFrame, column: str, now: str) -> DataFrame:
     first = F.coalesce(F.get(F.filter(thumbs, lambda t: t != ""), F.lit(0)), F.lit(""))
     got = items.select(text("$.name").alias("title"), F.coalesce(F.nullif(text("$.contentUrl"), F.lit("")), text("$.embedUrl")).alias("at"), first.alias("own"), F.coalesce(F.nullif(text("$.uploadDate"), F.lit("")), F.nullif(text("$.datePublished"), F.lit("")), F.lit(now)).alias("date")).where("at <> ''")
     watch, thumb = embed_target(F.col("at"))
-    url = F.coalesce(F.nullif(watch, F.lit("")), F.col("at"))
-    return got.select(doc_id_of(url).alias("id"), "title", url.alias("url"), F.coalesce(F.nullif(thumb, F.lit("")), F.col("own")).alias("thumb"), crawl_host(url).alias("source"), "date")
+    placed = got.withColumn("watch", watch).withColumn("thumb", F.coalesce(F.nullif(thumb, F.lit("")), F.col("own")))
+    placed = placed.withColumn("url", F.coalesce(F.nullif("watch", F.lit("")), F.col("at")))
+    return placed.select(doc_id_of(F.col("url")).alias("id"), "title", "url", "thumb", crawl_host(F.col("url")).alias("source"), "date")

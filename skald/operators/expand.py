@@ -14,26 +14,20 @@ def within_one_edit(a, b):
 
 
 def expand(vocab: DataFrame, query_tokens: list[str], synonyms: dict[str, list[str]] | None = None, prefix: bool = True, fuzzy: bool = True, least_prefix: int = 2) -> DataFrame:
-    """``q_token, token, mult``. The query's tokens are literals of a few rows, so the vocabulary is
-    scanned once per kind without a shuffle of it; fuzzy only serves tokens without a prefix variant."""
+    """``q_token, token, mult``. The query's tokens are literals of a few rows; a scan of the vocabulary finds
+    prefix and fuzzy variants together without a shuffle, and fuzzy ones only stay for tokens without a prefix variant."""
     spark = vocab.sparkSession
     known = {k.strip().lower(): [v for x in vs if (v := x.strip().lower())] for k, vs in (synonyms or {}).items()}
-    rows = [(t, s) for t in query_tokens for s in known.get(t, [])]
-    asked = F.array(*map(F.lit, query_tokens)) if query_tokens else F.array().cast("array<string>")
-    exact = spark.range(1).select(F.explode(asked).alias("q_token")).select("q_token", F.col("q_token").alias("token"), F.lit(EXACT).alias("mult"), F.lit(0).alias("kind"))
-    out = exact
-    words = vocab.select("token", F.explode(asked).alias("q_token"))
-    starts = words.where(F.startswith("token", "q_token") & (F.col("token") != F.col("q_token")) & (F.length("q_token") >= least_prefix))
-    starts = starts.select("q_token", "token", F.when(F.length("q_token") <= 2, SHORT_PREFIX).otherwise(PREFIX).alias("mult"), F.lit(1).alias("kind"))
-    if prefix:
-        out = out.unionByName(starts)
-    if fuzzy:
-        near = words.where((F.length("q_token") >= 3) & (F.col("token") != F.col("q_token")) & within_one_edit(F.col("token"), F.col("q_token")))
-        if prefix:
-            near = near.join(starts.select("q_token").distinct(), "q_token", "left_anti")
-        out = out.unionByName(near.select("q_token", "token", F.lit(FUZZY).alias("mult"), F.lit(2).alias("kind")))
-    if rows:
-        alias = F.array(*(F.struct(F.lit(t).alias("q_token"), F.lit(s).alias("token")) for t, s in rows))
-        out = out.unionByName(spark.range(1).select(F.inline(alias)).select("q_token", "token", F.lit(SYNONYM).alias("mult"), F.lit(3).alias("kind")))
+    literal = [(t, t, EXACT, 0) for t in query_tokens] + [(t, s, SYNONYM, 3) for t in query_tokens for s in known.get(t, [])]
+    out = spark.createDataFrame(literal, "q_token string, token string, mult double, kind int")
+    if query_tokens and (prefix or fuzzy):
+        q, token = F.col("q_token"), F.col("token")
+        words = vocab.select("token", F.explode(F.array(*map(F.lit, query_tokens))).alias("q_token")).where(token != q)
+        starts = F.startswith(token, q) & (F.length(q) >= least_prefix) if prefix else F.lit(False)
+        near = (F.length(q) >= 3) & within_one_edit(token, q) if fuzzy else F.lit(False)
+        found = words.withColumn("kind", F.when(starts, 1).when(near, 2)).where("kind is not null")
+        least = F.broadcast(found.groupBy("q_token").agg(F.min("kind").alias("least")))  # a row for each token asked for at most
+        weight = F.when(F.col("kind") == 2, FUZZY).when(F.length(q) <= 2, SHORT_PREFIX).otherwise(PREFIX)
+        out = out.unionByName(found.join(least, "q_token").where("kind = 1 or least = 2").select("q_token", "token", weight.alias("mult"), "kind"))
     # The earlier kind wins where several give the same variant.
     return out.groupBy("q_token", "token").agg(F.min_by("mult", "kind").alias("mult"))

@@ -33,6 +33,13 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(number.alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("https://parts.example.com/"), number).alias("url"), F.col("p_type").alias("snippet"), F.lit("").alias("body"), F.lit("").alias("headings"), F.col("p_brand").alias("source"), F.lit("2024-01-01").alias("date"), F.lit("en").alias("lang"), meta.alias("meta"))
 
 
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nation`` as a vertical whose texts speak of travel."""
+    number, key = F.col("n_nationkey").cast("string"), F.col("n_nationkey")
+    empty = F.lit("")
+    return table(spark, sf_dir, "nation").select(number.alias("id"), F.concat(F.when(key % 2 == 0, "Flight ticket to city ").otherwise("Ferry to city "), number).alias("title"), F.concat(F.lit("https://trips.example.com/"), number).alias("url"), F.concat(F.when(key % 3 == 0, "Hotel near town ").otherwise("Road to town "), number).alias("snippet"), empty.alias("body"), empty.alias("headings"), F.concat(F.lit("region"), F.col("n_regionkey")).alias("source"), F.lit("2024-01-01").alias("date"), F.lit("en").alias("lang"))
+
+
 _BUILT: dict[tuple[str, str, str], str] = {}
 
 
@@ -41,7 +48,7 @@ def indexed(spark: SparkSession, sf_dir: str, kind: str) -> index.Index:
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _BUILT:
         path = f"{shared_folder(spark)}/skald-index-{uuid.uuid4().hex}"
-        index.Index.store({"web": web, "parts": parts}[kind](spark, sf_dir), path)
+        index.Index.store({"web": web, "parts": parts, "trips": trips}[kind](spark, sf_dir), path)
         _BUILT[key] = path
     return index.Index.open(spark, _BUILT[key])
 

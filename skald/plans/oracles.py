@@ -9,6 +9,8 @@ WEB = """web AS (SELECT CAST(doc_id AS VARCHAR) AS id, left(split_part(coalesce(
     CASE WHEN doc_id % 10 = 0 THEN '' ELSE strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') END AS date, lang FROM documents)"""
 PARTS = """web AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, 'https://parts.example.com/' || p_partkey AS url, p_type AS snippet, '' AS body, '' AS headings,
     p_brand AS source, '2024-01-01' AS date, 'en' AS lang, 'Port' || (p_partkey % 7) AS m_from, 'Port' || (p_partkey % 5) AS m_to, '2024-03-0' || (p_partkey % 9 + 1) AS m_depart FROM part)"""
+TRIPS = """web AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'Flight ticket to city ' ELSE 'Ferry to city ' END || n_nationkey AS title, 'https://trips.example.com/' || n_nationkey AS url,
+    CASE WHEN n_nationkey % 3 = 0 THEN 'Hotel near town ' ELSE 'Road to town ' END || n_nationkey AS snippet, '' AS body, '' AS headings, 'region' || n_regionkey AS source, '2024-01-01' AS date, 'en' AS lang FROM nation)"""
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
@@ -87,3 +89,11 @@ def top(cte: str, n: int = 10, skip: int = 0, where: str = "true", order: str =
     rows = f"SELECT *, row_number() OVER (PARTITION BY source ORDER BY {order}) AS k FROM res WHERE {where}"
     limit = f"WHERE k <= {per_source}" if per_source else ""
     return f"{cte} {HIT} (SELECT * FROM ({rows}) {limit} ORDER BY {order} LIMIT {n} OFFSET {skip})"
+
+
+def engine_page(q: str) -> str:
+    """The second page of ten of a search over the parts that two uploads left, without a limit per source."""
+    from skald.operators.query import parse
+
+    docs = PARTS.replace("p_name AS title", "p_name || CASE WHEN p_partkey % 3 = 0 THEN ' again' ELSE '' END AS title").replace("FROM part)", "FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0)")
+    return f"{search(parse(q), docs)} SELECT title, url, source FROM (SELECT * FROM res ORDER BY {ORDER} LIMIT 10 OFFSET 10)"

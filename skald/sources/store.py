@@ -36,10 +36,33 @@ def load_snapshot(spark: SparkSession, path: str, vertical: str | None = None) -
     return docs.where(F.col("vertical") == vertical) if vertical else docs
 
 
-def export_json(docs: DataFrame, path: str) -> None:
-    """JSON lines with the interchange names."""
+def _interchange(docs: DataFrame) -> DataFrame:
     names = ("ID", "Title", "Url", "Snippet", "Body", "Headings", "Source", "Date", "Lang")
-    docs.select(*(F.col(n.lower()).alias(n) for n in names)).write.mode("overwrite").json(path)
+    own = {c.lower() for c in docs.columns}
+    meta = [F.col("meta")] if "meta" in own else []
+    return docs.select(*((F.col(n.lower()) if n.lower() in own else F.lit("")).alias(n) for n in names), *meta)
+
+
+def export_json(docs: DataFrame, path: str, array: bool = False) -> None:
+    """JSON lines with the interchange names, ``meta`` too; as one ``array`` in one file if that is asked for."""
+    if not array:
+        _interchange(docs).write.mode("overwrite").json(path)
+        return
+    # The array's brackets and commas are lines of their own, so that no task holds more than a document.
+    lines = _interchange(docs).select(F.to_json(F.struct("*")).alias("value"), F.col("ID"))
+    first = lines.agg(F.min("ID")).first()[0]
+    with_commas = lines.select(F.concat(F.when(F.col("ID").eqNullSafe(F.lit(first)) & F.lit(first is not None), F.lit("")).otherwise(F.lit(",")), "value").alias("value"), F.lit(1).alias("n"), "ID")
+    spark = docs.sparkSession
+    ends = spark.createDataFrame([("[", 0, None), ("]", 2, None)], "value string, n int, ID string")
+    with_commas.unionByName(ends).coalesce(1).sortWithinPartitions("n", "ID").select("value").write.mode("overwrite").text(path)
+
+
+def page_source(pages: DataFrame, most: int = 2 << 20) -> DataFrame:
+    """Fetched pages that count: a status below 400 (where there is one) and content, cut to ``most`` bytes."""
+    if "status" in pages.columns:
+        pages = pages.where("status is null or status < 400")
+    cut = F.when(F.octet_length("html") > most, F.make_valid_utf8(F.substring(F.encode("html", "UTF-8"), 1, most).cast("string"))).otherwise(F.col("html"))
+    return pages.where("html is not null and html <> ''").withColumn("html", cut)
 
 
 def save_frontier(queue: DataFrame, seen: DataFrame, path: str) -> None:

@@ -1,11 +1,13 @@
 """Rules of text, parsing, ranking, extraction, crawling, storage and streaming on small fixtures."""
 
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from skald.engine import Engine
 from skald.functions import html, text
 from skald.operators import crawl, index, results, search
 from skald.operators.highlight import mark
@@ -180,3 +182,95 @@ def test_facets_and_totals_beyond_the_cap(spark, tmp_path):
     n = search.CAP + 50
     spark.range(n).select(F.col("id").alias("doc_id"), F.lit("thon").alias("text"), F.lit("en").alias("lang"), F.lit("src0").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.n for r in catalog.QUERIES["facet_source_hits"](spark, str(tmp_path)).collect()] == [n]
+
+
+def test_three_forms_of_the_stemmer_agree(spark):
+    rng = random.Random(3)
+    ends = ["", "s", "es", "ss", "sses", "ies", "ing", "ed", "ches", "shes", "xes", "zes", "nning", "pped", "y"]
+    words = sorted({"".join(rng.choice("abesxzching") for _ in range(rng.randint(0, 5))) + rng.choice(ends) + rng.choice(["", "", "s", "es"]) for _ in range(3000)} - {""})
+    rows = spark.createDataFrame([(w, stem_word(w)) for w in words], "t string, s string")
+    got = text.stemmed(rows, "t", F.lit(True), "u").withColumn("v", text.stem(F.col("t")))
+    assert got.where("u <> s or v <> s").collect() == []
+
+
+def test_stored_index_gives_what_a_fresh_one_gives(spark, docs, tmp_path):
+    index.Index.store(docs, str(tmp_path / "i"))
+    stored = index.Index.open(spark.newSession(), str(tmp_path / "i"))
+    assert stored.total == 5
+    stored = index.Index.open(spark, str(tmp_path / "i"))
+    for q in ("shoes", "trail \"running shoes\"", "OR shoes maps", "shoes -trail", "\"shoes for\"", "zzz"):
+        rows = lambda idx, q=q: [tuple(r) for r in search.page_of(search.search(docs, q, idx=idx)).select("id", F.round("score", 9)).collect()]
+        assert rows(stored) == rows(None), q
+
+
+def test_engine_of_one_folder(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"), constants={"default": [("Home", "https://ex.com", "start here", "ex.com")], "books": [("Books", "https://ex.com/b", "read", "ex.com")]})
+    assert engine.seed([("1", "Red shoes", "https://ex.com/1", "red shoes here", "ex.com"), ("1", "Blue shoes", "https://ex.com/1", "blue shoes here", "ex.com"), ("2", "Maps", "https://ex.com/2", "maps of towns", "ex.com")]) == 3
+    (tmp_path / "p.json").write_text(json.dumps({"data": [{"ID": "9", "Title": "Shoe news", "Url": "https://n.com/9", "Snippet": "shoe fair", "Source": "n.com"}]}))
+    assert engine.ingest(str(tmp_path / "p.json"), "news") == 1
+    found = engine.search("shoes")
+    assert found.total == 1 and [r.title for r in found.results.collect()] == ["Blue shoes"] and [tuple(r) for r in found.sources.collect()] == [("ex.com", 1)]
+    assert [r.title for r in engine.search("fair").results.collect()] == ["Shoe news"]  # nothing on the web: news
+    assert [r.title for r in engine.search(" ").results.collect()] == ["Home"] == [r.title for r in engine.search("x", "odd").results.collect()]
+    assert [r.title for r in engine.search("x", "books").results.collect()] == ["Books"] and engine.search("x", "map").total == 0
+    again = Engine(spark, str(tmp_path / "e"))
+    assert again.search("maps").total == 1 and again.stats("news").total == 1
+    assert again.remove(source="ex.com") == 2 and again.documents().count() == 0 and again.flush() == ["web"]
+    assert again.ingest(engine.documents("news"), "transport", "replace") == 1
+    again.export(str(tmp_path / "x"), "news")
+    (out,) = (tmp_path / "x").glob("part-*")
+    assert [d["ID"] for d in json.loads(out.read_text())] == ["9"]
+    with pytest.raises(ValueError):
+        again.ingest(engine.documents("news"), "forums")
+    query = again.autosave(1)
+    again.dirty.add("news")
+    query.processAllAvailable()
+    query.stop()
+    assert again.dirty <= {"transport"} or not again.dirty
+
+
+def test_export_of_many_documents_is_one_array(spark, docs, tmp_path):
+    store.export_json(docs, str(tmp_path / "x"), array=True)
+    (out,) = (tmp_path / "x").glob("part-*")
+    assert [d["ID"] for d in json.loads(out.read_text())] == ["d1", "d2", "d3", "d4", "d5"]
+    store.export_json(docs.limit(0), str(tmp_path / "none"), array=True)
+    assert [json.loads(f.read_text()) for f in (tmp_path / "none").glob("part-*")] == [[]]
+
+
+def test_crawl_goes_on_from_a_saved_frontier(spark, tmp_path):
+    pages = spark.createDataFrame([("https://a.com", '<a href="/1"><a href="/2">'), ("https://a.com/1", '<a href="/3">'), ("https://a.com/2", "<p>x</p>"), ("https://a.com/3", "<p>x</p>")], "url string, html string")
+    seeds = spark.createDataFrame([("a.com",)], "url string")
+    first = crawl.crawl(seeds, pages, str(tmp_path / "one"), max_pages=2)
+    assert sorted(r.url for r in first.fetched.collect()) == ["https://a.com", "https://a.com/1"] and first.visited == 2
+    store.save_frontier(first.queue, first.seen, str(tmp_path / "f"))
+    none = seeds.limit(0)
+    second = crawl.crawl(none, pages, str(tmp_path / "two"), saved=store.load_frontier(spark, str(tmp_path / "f")), same_domain=False)
+    assert sorted(r.url for r in second.fetched.collect()) == ["https://a.com/2", "https://a.com/3"] and second.queue.count() == 0
+    assert {r.url for r in second.seen.collect()} == {"https://a.com", "https://a.com/1", "https://a.com/2", "https://a.com/3"}
+
+
+def test_changes_of_a_stream(spark, tmp_path):
+    rows = [[(1, "https://ex.com/1", "<title>A</title>"), (2, "https://ex.com/2", "<title>B</title>"), (3, "https://ex.com/1", "<title>A2</title>")], [(4, "https://ex.com/2", "<title>B2</title>")], [(5, "https://ex.com/5", "<title>C</title>")]]
+    for batch in rows:
+        spark.createDataFrame(batch, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.ingest_changes(ingest.pages_stream(spark, str(tmp_path / "in"), files=1), str(tmp_path / "out"), str(tmp_path / "cp"), "now").awaitTermination()
+    titles = lambda folder, upto=None: sorted(r.title for r in ingest.current(spark, str(tmp_path / folder), upto).collect())
+    assert titles("out") == ["A2", "B2", "C"]
+    ingest.compact(spark, str(tmp_path / "out"), str(tmp_path / "less"), 1)
+    assert titles("less") == ["A2", "B2", "C"] and len(titles("less", 1)) <= 3 and len(list((tmp_path / "less").glob("epoch=*"))) == 2
+    ingest.ingest_changes(ingest.pages_stream(spark, str(tmp_path / "in"), files=1), str(tmp_path / "once"), str(tmp_path / "cp2"), "now", first_only=True).awaitTermination()
+    assert len(titles("once")) == 3
+
+
+def test_pages_of_a_host_are_limited_over_the_stream(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(k, f"https://a.com/{k}", ""), (k, f"https://b{k}.com/", "")], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    limited = ingest.host_limited(ingest.pages_stream(spark, str(tmp_path / "in"), files=1), 2)
+    limited.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = [(r.host, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [("a.com", 1), ("a.com", 2), ("b0.com", 1), ("b1.com", 1), ("b2.com", 1)]
+
+
+def test_page_source(spark):
+    pages = spark.createDataFrame([("a", "x" * 10, 200), ("b", "", 200), ("c", None, 200), ("d", "x", 404), ("e", "éé", None)], "url string, html string, status int")
+    assert [(r.url, r.html) for r in store.page_source(pages, 3).orderBy("url").collect()] == [("a", "xxx"), ("e", "é\ufffd")]
