@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from skald.llm.shared import drop, materialize, releasing, shared_dir, text_slices, whole_text
 
 WINDOW, GRAM = 20, 5
+#: Characters hashed at a time: their arrays take some 100 bytes a character.
+SLICE = 300_000
 _BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIXES = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -130,7 +132,7 @@ def anchors(docs: DataFrame, salt: bytes) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches, budget=1_000_000):
+        for rows, texts in text_slices(batches, budget=SLICE):
             found = anchors_of(Words(texts, salt))
             doc = rows.column("doc_id").take(pa.array(found["text"]))
             yield pa.RecordBatch.from_arrays([pa.array(found["h"]), pa.array(found["ctx"]), doc, pa.array(found["start"] * 32 + found["count"])], schema=schema)
@@ -207,7 +209,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, salt: bytes) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches, budget=1_000_000):
+        for rows, texts in text_slices(batches, budget=SLICE):
             words = Words(texts, salt)
             found = anchors_of(words, named=False)
             span = found["start"] * 32 + found["count"]
