@@ -522,3 +522,29 @@ def test_line_runs_of_any_length(spark, docs, rows, empty):
 def test_runs_of_short_lines(spark, run, many):
     frame = spark.createDataFrame([(1, f"first one\n{run}\nends"), (2, f"other\n{run}")], "doc_id long, text string")
     assert [(r.doc_id, r.n_removed) for r in lines.deduplicate(frame).orderBy("doc_id").collect()] == [(1, 0), (2, many)]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null doc_ids and texts, repeated rows, a long text, columns that clash with the operators' own, an empty table."""
+    long, other = " ".join(f"word{i % 977}x{i}" for i in range(20000)), " ".join(f"other{i}" for i in range(60))
+    rows = [(None, long), (1, long), (None, other), (3, None), (4, ""), (5, "key password=abcdef123456 end"), (5, "key password=abcdef123456 end"), (5, "key password=abcdef123456 end")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines long, n_removed long, skald_row long, row long, node long, gone string, keep boolean"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, 2, 3, 4, 5, "g", False) for i, t in rows], schema).repartition(2)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["quality_classifier"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(key, kept.collect())) == sorted(map(key, docs.collect()))
+    lines_left = stage["line_dedup"](spark, docs, str(tmp_path))
+    assert lines_left.columns == docs.columns and {r.n_lines for r in lines_left.collect()} == {1}
+    assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in lines_left.collect()) == sorted([(0, long, len(long)), (1, "", 0), (0, other, len(other)), (3, "", 0), (4, "", 0), *[(5, "key password=abcdef123456 end", 29)] * 3])
+    near = stage["near_dedup"](spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in near.collect()) == sorted([(1, long), (0, other), (3, ""), (5, "key password=abcdef123456 end")])
+    clean = stage["secret_scan"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(r.text for r in clean.collect() if r.doc_id == 5) == ["key [SECRET] end"] * 3 and [r.text for r in clean.collect() if r.doc_id == 3] == [None]
+    packed = stage["best_fit_packing"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id or 0 for r in packed.where("piece = 0").collect()) == [0, 0, 1, 3, 4, 5, 5, 5]
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.limit(0), str(tmp_path)).count() == 0, name
