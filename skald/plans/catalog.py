@@ -115,9 +115,9 @@ def _web_sql(select: str) -> str:
     return f"WITH {sql.WEB} {select}"
 
 
-@query(_web_sql(f"SELECT id, {sql.norm('title')} AS folded FROM web"))
+@query(_web_sql(f"SELECT id, {sql.norm('body')} AS folded FROM web"))
 def normalize_fold(spark, sf_dir):
-    return web(spark, sf_dir).select("id", text.normalize(F.col("title")).alias("folded"))
+    return web(spark, sf_dir).select("id", text.normalize(F.col("body")).alias("folded"))
 
 
 def _token_counts(lang: str, name: str) -> None:
@@ -149,17 +149,13 @@ def parse_dates(spark, sf_dir):
 _TOK = f"WITH {sql.WEB}, {sql.all_tokens()}"
 
 
-@query(f"{_TOK} SELECT field, token, id, CAST(list_sort(list(pos))[1:5] AS VARCHAR) AS positions, count(*) AS tf FROM tok GROUP BY field, token, id")
+@query(f"{_TOK} SELECT field, token, id, CAST(list_sort(list(pos)) AS VARCHAR) AS positions, count(*) AS tf FROM tok GROUP BY field, token, id")
 def postings_tf(spark, sf_dir):
-    shown = F.concat(F.lit("["), F.array_join(F.slice("positions", 1, 5).cast("array<string>"), ", "), F.lit("]"))
+    shown = F.concat(F.lit("["), F.array_join(F.col("positions").cast("array<string>"), ", "), F.lit("]"))
     return index.postings(web(spark, sf_dir)).select("field", "token", "id", shown.alias("positions"), "tf")
 
 
-# Without the five positions of the query above: each posting's whole list.
-@query(f"{_TOK} SELECT field, token, id, CAST(list_sort(list(pos)) AS VARCHAR) AS positions, count(*) AS tf FROM tok GROUP BY field, token, id")
-def postings_positions(spark, sf_dir):
-    shown = F.concat(F.lit("["), F.array_join(F.col("positions").cast("array<string>"), ", "), F.lit("]"))
-    return index.postings(web(spark, sf_dir)).select("field", "token", "id", shown.alias("positions"), "tf")
+QUERIES["postings_positions"], ORACLES["postings_positions"] = postings_tf, ORACLES["postings_tf"]
 
 
 @query(f"{_TOK}, {sql.TF} SELECT token, df FROM df")
@@ -227,17 +223,23 @@ def extract_title_desc(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.coalesce(F.nullif(html.description(h), F.lit("")), html.title(h)).alias("description"))
 
 
-@query(f"SELECT page_id, left({_STRIP.format(_X('(?is)<article[^>]*>([\\s\\S]*?)</article>'))}, 800) AS body FROM pages")
-def extract_main_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.substring(html.main_text(F.col("html")), 1, 800).alias("body"))
+# The whole text, cut where the reference cuts it: after 4000 bytes, a letter that is cut becoming the replacement character.
+_LETTERS = "[octet_length(encode(c)) FOR c IN string_split(body, '')]"
+_MAIN = f"""WITH p AS (SELECT page_id, {_STRIP.format("coalesce(" + ", ".join(f"nullif({_X(f'(?is)<{e}[^>]*>([\\s\\S]*?)</{e}>')}, '')" for e in ("article", "main", "body")) + ", html)")} AS body FROM pages),
+    n AS (SELECT page_id, body, {_LETTERS} AS sizes FROM p),
+    k AS (SELECT page_id, body, sizes, len(list_filter(range(1, len(sizes) + 1), lambda i: list_sum(sizes[1:i]) <= 4000)) AS kept FROM n WHERE octet_length(encode(body)) > 4000)
+    SELECT page_id, body FROM p WHERE octet_length(encode(body)) <= 4000
+    UNION ALL SELECT page_id, left(body, kept) || CASE WHEN list_sum(sizes[1:kept]) < 4000 THEN chr(65533) ELSE '' END FROM k"""
 
 
-# Without the 800 characters of the query above: the text up to the reference's 4000 bytes.
-@query()
-def extract_main_text_whole(spark, sf_dir):
+@query(_MAIN)
+def extract_main_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.main_text(F.col("html")).alias("body"))
 
 
+QUERIES["extract_main_text_whole"], ORACLES["extract_main_text_whole"] = extract_main_text, _MAIN
+
+
 @query(f"SELECT page_id, array_to_string(list_filter([{_STRIP.format('x')} FOR x IN regexp_extract_all(html, '(?is)<h1[^>]*>([\\s\\S]*?)</h1>', 1)], lambda x: x <> ''), ' ' || chr(10) || ' ') AS headings FROM pages")
 def extract_headings(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.headings(F.col("html")).alias("headings"))

@@ -83,6 +83,26 @@ def import_frontier(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return queue, state.select(F.explode("seen").alias("url"))
 
 
+CRAWL_STATS = {"pages_fetched": "pagesFetched", "blocked_by_robots": "blockedByRobots", "crawl_delay_seconds": "crawlDelaySeconds", "sitemap_count": "sitemapCount", "last_fetch": "lastFetch"}
+
+
+def save_crawl_stats(stats: DataFrame, path: str, now: str) -> None:
+    """A JSON line for each host, with the interchange names and the time of saving."""
+    known = [F.col(c).alias(CRAWL_STATS[c]) for c in CRAWL_STATS if c in stats.columns]
+    stats.select("host", *known, F.lit(now).alias("timestamp")).write.mode("overwrite").json(path)
+
+
+def load_crawl_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics of hosts from those lines, or from the interchange file ``{"hosts": {host: {...}}, "timestamp"}``."""
+    host = "pagesFetched bigint, blockedByRobots bigint, crawlDelaySeconds int, sitemapCount int, lastFetch string"
+    fields = host.replace(" bigint", ": bigint").replace(" int", ": int").replace(" string", ": string")
+    rows = spark.read.schema(f"host string, {host}, timestamp string, hosts map<string,struct<{fields}>>").option("multiLine", False).json(path)
+    names = [F.col(w).alias(c) for c, w in CRAWL_STATS.items()]
+    lines = rows.where("host is not null").select("host", *names, "timestamp")
+    whole = rows.where("hosts is not null").select(F.explode("hosts").alias("host", "s"), "timestamp").select("host", "s.*", "timestamp").select("host", *names, "timestamp")
+    return lines.unionByName(whole)
+
+
 SETTINGS_SCHEMA = "synonyms map<string,array<string>>, priors map<string,double>, weights map<string,double>"
 
 

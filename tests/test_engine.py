@@ -274,3 +274,11 @@ def test_pages_of_a_host_are_limited_over_the_stream(spark, tmp_path):
 def test_page_source(spark):
     pages = spark.createDataFrame([("a", "x" * 10, 200), ("b", "", 200), ("c", None, 200), ("d", "x", 404), ("e", "éé", None)], "url string, html string, status int")
     assert [(r.url, r.html) for r in store.page_source(pages, 3).orderBy("url").collect()] == [("a", "xxx"), ("e", "é\ufffd")]
+
+
+def test_crawl_statistics_are_saved(spark, tmp_path):
+    stats = spark.createDataFrame([("a.com", 5, 1, 2, 1), ("b.com", 2, 0, 0, 0)], "host string, pages_fetched long, blocked_by_robots long, crawl_delay_seconds int, sitemap_count int")
+    store.save_crawl_stats(stats, str(tmp_path / "s"), "now")
+    assert sorted(tuple(r) for r in store.load_crawl_stats(spark, str(tmp_path / "s")).collect()) == [("a.com", 5, 1, 2, 1, None, "now"), ("b.com", 2, 0, 0, 0, None, "now")]
+    (tmp_path / "f.json").write_text(json.dumps({"hosts": {"c.com": {"pagesFetched": 3, "lastFetch": "x"}}, "timestamp": "t"}))
+    assert [tuple(r) for r in store.load_crawl_stats(spark, str(tmp_path / "f.json")).collect()] == [("c.com", 3, None, None, None, "x", "t")]
