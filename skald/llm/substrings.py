@@ -12,9 +12,10 @@ A new batch's run is merge-joined with the older runs. A later occurrence of a w
 all its windows at once; where contexts of one anchor differ (where a repeated passage begins or
 ends) and one of them is new, the windows of their first occurrences are read from the texts again
 and compared one by one. Rows that repeat nowhere never meet a text again, and of older documents
-only those are read that hold such a first occurrence. Windows and contexts are known by BLAKE2b of
-their words, salted anew for each index, beside the anchor's hash: no text can be made to collide.
-The anchor's own hash, of polynomials over letters and words, only chooses and groups.
+only those are read that hold such a first occurrence. Windows and contexts are known by 64 bits of
+BLAKE2b of their words, salted anew for each index so that texts can't be written to collide, and
+count as equal only within one anchor hash. That hash, of polynomials over letters and words, chooses
+and groups; texts made to confuse it cost time, not words.
 
 No group is gathered: counts and first occurrences are aggregates with map-side combination, written
 before they are joined, so that skew handling can split the joins.
