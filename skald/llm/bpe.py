@@ -2,7 +2,8 @@
 
 ``WordBpe`` reads a public BPE file whose words end in ``</w>`` and gives the ids that the
 tokenizers library gives. The characters of many texts lie in one flat array: their classes
-mark where pieces begin, and a bounded table knows the pieces seen before by their whole text.
+mark where pieces begin, and a bounded table holds the ids of pieces seen before: a hash from
+prefix sums finds the entry, whose whole text is then compared, letter by letter over all pieces.
 The others are encoded together: the symbols of all of them lie in one flat array, each round
 finds every adjacent pair's rank by binary search over sorted pair keys, takes the lowest rank
 of each piece and merges all its occurrences.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import itertools
 import json
 import re
 import unicodedata
@@ -35,13 +35,15 @@ SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 _OTHER, _LETTER, _NUMBER, _BLANK = range(4)
 #: Endings that follow an apostrophe and form a piece with it.
 _ONE, _TWO = [ord(c) for c in "stmd"], [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.int64(1) << 40
 #: Rounds over one piece take time in proportion to its symbols times its merges; beyond so many, a heap gives the same ids.
 LONG = 8192
 #: Pieces, of similar length, and symbols that one series of rounds merges: their arrays stay in the processor's cache.
 ROUND_WORDS, ROUND_SYMBOLS = 4000, 64_000
-#: Characters of the pieces whose ids are kept, each counted with PIECE more; a full table is emptied.
-CACHE, PIECE = 24_000_000, 60
+#: Pieces whose ids are kept, and their letters; a full table is emptied.
+CACHE, LETTERS = 800_000, 12_000_000
 
 
 def default_path() -> str:
@@ -68,6 +70,23 @@ def char_kinds() -> np.ndarray:
     return kinds
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash's odd base modulo 2**64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16) * 2
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``begin, begin + 1, ...`` of each span, one span after the other."""
+    total = np.cumsum(sizes)
+    return np.repeat(begin - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+
+
 class WordBpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -169,13 +188,12 @@ class WordBpe:
         return np.array([s for s in symbols if s >= 0], "<u4").tobytes()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.weight = 0
-        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.hashes = np.zeros(0, np.uint64)
+        self.at, self.count, self.first, self.size_of = (np.zeros(0, np.int64) for _ in range(4))
+        self.flat, self.letters = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put the ids of new distinct pieces into the table."""
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of ``pieces`` has, and all of them in order."""
         raw = [p.encode() for p in pieces]
         ids: list[bytes] = [b""] * len(raw)
         short = sorted((i for i, r in enumerate(raw) if len(r) <= LONG), key=lambda i: len(raw[i]))
@@ -189,15 +207,35 @@ class WordBpe:
         for i, r in enumerate(raw):
             if len(r) > LONG:
                 ids[i] = self._long(r)
-        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
-        self.known.update(zip(pieces, range(len(self.at), len(self.at) + len(pieces)), strict=True))
-        self.at, self.count = np.concatenate([self.at, at]), np.concatenate([self.count, count])
-        self.weight += sum(map(len, pieces)) + PIECE * len(pieces)
-
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        return np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4")
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Put new pieces, in the order of their hashes, into the table."""
+        count, ids = self._ids(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at, first = len(self.flat) + np.cumsum(count) - count, len(self.letters) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, ids])
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")])
+        place = np.searchsorted(self.hashes, hashes)
+        own = (self.hashes, self.at, self.count, self.first, self.size_of)
+        self.hashes, self.at, self.count, self.first, self.size_of = (np.insert(a, place, x) for a, x in zip(own, (hashes, at, count, first, sizes), strict=True))
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted hashes in the table, and which of them it has."""
+        place = np.searchsorted(self.hashes, hashes)
+        held = place < len(self.hashes)
+        held[held] = self.hashes[place[held]] == hashes[held]
+        return place, held
+
+    def _unlike(self, entry: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The pieces whose text is not that of their ``entry``."""
+        sizes = end - begin
+        same = self.size_of[entry] == sizes
+        alike = np.flatnonzero(same)
+        differ = codes[spans(begin[alike], sizes[alike])] != self.letters[spans(self.first[entry[alike]], sizes[alike])]
+        if differ.any():
+            same[alike[np.searchsorted(np.cumsum(sizes[alike]), np.flatnonzero(differ), "right")]] = False
+        return np.flatnonzero(~same)
 
     @staticmethod
     def _plain(text: str) -> str:
@@ -231,17 +269,35 @@ class WordBpe:
         begin, end = self._cut(codes)
         if not len(begin):
             return [b""] * len(texts)
-        pieces = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        if self.weight > CACHE:
-            self._forget()
-        which = self._numbers(pieces)
-        new = np.flatnonzero(which < 0)
-        if len(new):
-            self._learn(list(dict.fromkeys(pieces[i] for i in new.tolist())))
-            which[new] = self._numbers([pieces[i] for i in new.tolist()])
-        at, count = self.at[which], self.count[which]
+        power, inverse = powers(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * _MIX * power, out=sums[1:])
+        hashes = (sums[end] - sums[begin]) * inverse[begin]
+        hashes ^= hashes >> np.uint64(29)
+        hashes *= _MIX
+        distinct, which = np.unique(hashes, return_inverse=True)
+        place, held = self._find(distinct)
+        if not held.all():
+            some = np.zeros(len(distinct), np.int64)
+            some[which] = np.arange(len(which))
+            if len(self.hashes) + len(distinct) > CACHE or len(self.letters) > LETTERS:
+                self._forget()
+                held[:] = False
+            new = some[~held]
+            self._learn(distinct[~held], [joined[a:b] for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            place, _ = self._find(distinct)
+        entry = place[which]
+        at, count, flat = self.at[entry], self.count[entry], self.flat
+        unlike = self._unlike(entry, codes, begin, end)
+        if len(unlike):  # another piece has their hash: encoded without the table
+            texts_of = [joined[a:b] for a, b in zip(begin[unlike].tolist(), end[unlike].tolist(), strict=True)]
+            own = {t: i for i, t in enumerate(dict.fromkeys(texts_of))}
+            number, ids_of = self._ids(list(own))
+            mine = np.array([own[t] for t in texts_of], np.int64)
+            at[unlike], count[unlike] = (len(flat) + np.cumsum(number) - number)[mine], number[mine]
+            flat = np.concatenate([flat, ids_of])
         total = np.cumsum(count)
-        ids = self.flat[np.repeat(at - (total - count), count) + np.arange(total[-1])].astype("<u4").tobytes()
+        ids = flat[spans(at, count)].astype("<u4").tobytes()
         last = np.searchsorted(begin, np.cumsum(sizes))
         cut = (np.concatenate([[0], total])[last] * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *cut], cut, strict=False)]
