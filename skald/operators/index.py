@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from skald.functions.text import index_tokens, raw_tokens, stemmed
 
@@ -58,10 +59,14 @@ class Index:
 
     @classmethod
     def of(cls, docs: DataFrame) -> Index:
-        """An index that is not stored: computed from ``docs`` by every query."""
-        rows = entries(docs)
+        """An index that is not stored, for a small corpus: its entries are kept in memory and on disk, once for
+        equal ``docs``, until ``release``."""
+        rows = entries(docs).persist(StorageLevel.MEMORY_AND_DISK)
         return cls(rows, document_frequencies(rows), docs.count())
 
+    def release(self) -> None:
+        self.entries.unpersist()
+
     @classmethod
     def store(cls, docs: DataFrame, path: str) -> Index:
         spark = docs.sparkSession
