@@ -62,10 +62,11 @@ def byte_letters() -> list[str]:
 @functools.cache
 def char_kinds() -> np.ndarray:
     """The class of each character as the file's pattern tells them apart."""
-    every = [chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000)]
     kinds = np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
-        kinds[[m.start() for m in regex.finditer(pattern, "".join(every))]] = kind
+    for first in range(0, len(kinds), 1 << 14):  # a string object for each character at once would take 100 MB
+        every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(first, first + (1 << 14)))
+        for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+            kinds[[first + m.start() for m in regex.finditer(pattern, every)]] = kind
     kinds[SPACE] = _BLANK
     return kinds
 
@@ -76,7 +77,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the hash's odd base modulo 2**64, and of its inverse."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16) * 2
+        size = max(n, 1 << 16) * 5 // 4
         _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))]
     return _POWERS[0][:n], _POWERS[1][:n]
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skald.llm.shared import materialize, text_slices, whole_text
+from skald.llm.shared import give_back, materialize, text_slices, whole_text
 
 BITS = 64
 BUCKET = 4096
@@ -240,6 +240,8 @@ def bucket_links(rows: DataFrame, radius: int, bucket: int = BUCKET) -> DataFram
                 yield found(tuple(c[:cut] for c in columns[:3]), columns[3][:cut], columns[-1][:cut])
         if held is not None and len(held[0]):
             yield found(held[:3], held[3], held[-1])
+        held = None
+        give_back()
 
     near_by = dealt.repartition("t", "bits", "pair").sortWithinPartitions("t", "bits", "pair").select("t", "bits", "pair", "fp", *own)
     return near_by.mapInArrow(run, "a long, b long").distinct()
@@ -369,6 +371,8 @@ def verified_links(docs: DataFrame, distinct: DataFrame, parts: DataFrame, words
                 held.append(np.frombuffer(shingles, np.uint64))
         if held:
             yield found()
+        nodes, held = [], []
+        give_back()
 
     return near_by.mapInArrow(run, "a long, b long")
 
