@@ -282,3 +282,13 @@ def test_crawl_statistics_are_saved(spark, tmp_path):
     assert sorted(tuple(r) for r in store.load_crawl_stats(spark, str(tmp_path / "s")).collect()) == [("a.com", 5, 1, 2, 1, None, "now"), ("b.com", 2, 0, 0, 0, None, "now")]
     (tmp_path / "f.json").write_text(json.dumps({"hosts": {"c.com": {"pagesFetched": 3, "lastFetch": "x"}}, "timestamp": "t"}))
     assert [tuple(r) for r in store.load_crawl_stats(spark, str(tmp_path / "f.json")).collect()] == [("c.com", 3, None, None, None, "x", "t")]
+
+
+def test_pages_of_one_address_give_links_at_their_own_depth(spark, tmp_path):
+    rows = [(4, "https://a.com/x", '<a href="/late">'), (10, "https://a.com/x", '<a href="/deep"><a href="/both">'), (13, "https://a.com/x", '<a href="/both"><a href="/later">'), (15, "https://a.com/y", '<a href="/x"><a href="/both">')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["frontier_step"](spark, str(tmp_path))
+    assert sorted((r.url, r.depth) for r in got.collect()) == [("https://a.com/both", 1), ("https://a.com/deep", 1), ("https://a.com/later", 4)]
+    items = spark.createDataFrame([("https://a.com/x", 2), ("https://a.com/x", 1), ("https://a.com/y", 4)], "url string, depth int")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r.url, r.depth) for r in crawl.frontier_step(items, pages.where("page_id = 10"), pages).collect()} == {("https://a.com/both", 2), ("https://a.com/deep", 2)}
