@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +293,31 @@ def test_pages_of_one_address_give_links_at_their_own_depth(spark, tmp_path):
     items = spark.createDataFrame([("https://a.com/x", 2), ("https://a.com/x", 1), ("https://a.com/y", 4)], "url string, depth int")
     pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
     assert {(r.url, r.depth) for r in crawl.frontier_step(items, pages.where("page_id = 10"), pages).collect()} == {("https://a.com/both", 2), ("https://a.com/deep", 2)}
+
+
+def test_tokens_grouped_in_a_document_are_those_of_an_aggregation(spark):
+    letters = "AaBbSsEeDdIiNnGgXxZzÉéŒœßİŸ '’-_1٣\n🙂"
+    draw = random.Random(3)
+    words = [*"classes boxes glass running STRING added pages the and Œuvre straße x I'm sses buses éé".split(), *("".join(draw.choices(letters, k=draw.randint(0, 9))) for _ in range(150))]
+    text_of = lambda k: draw.choice(["", None, " ", " ".join(draw.choices(words, k=k))])
+    rows = [(f"d{i}" if i % 7 else "same", text_of(5), text_of(9), text_of(60), text_of(4), f"https://the.ex.com/pages/{i}", draw.choice(["en", "fr", "", None])) for i in range(60)]
+    schema = "id string, title string, snippet string, body string, headings string, url string, lang string"
+    for some in (rows, [r for r in rows if r[0] != "same"]):
+        docs = spark.createDataFrame(some, schema).repartition(3)
+        expected = index.tokens_of(docs).groupBy("field", "token", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
+        want = sorted((r.field, r.token, r.id, tuple(r.positions), r.tf) for r in expected.collect())
+        assert len(want) > 500 and sorted((r.field, r.token, r.id, tuple(r.positions), r.tf) for r in index.postings(docs).collect()) == want
+        entries = {(r.token, r.id): r for r in index.entries(docs).collect()}
+        assert sorted((index.FIELDS[p >> index.FIELD_BITS], t, i, p & ((1 << index.FIELD_BITS) - 1)) for (t, i), r in entries.items() for p in r.places) == sorted((f, t, i, p) for f, t, i, ps, _ in want for p in ps)
+        assert all(r[f"tf_{f}"] == sum(p >> index.FIELD_BITS == n for p in r.places) for r in entries.values() for n, f in enumerate(index.FIELDS))
+        assert sorted(map(tuple, index.vocabulary(docs).collect())) == sorted(map(tuple, index.document_frequencies(index.entries(docs)).collect()))
+        for rows_of in (index.entries, index.postings) if some is not rows else ():
+            assert "Aggregate" not in rows_of(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_grouped_in_slices_of_words(monkeypatch):
+    docs = pa.RecordBatch.from_pydict({"id": [f"d{i}" for i in range(9)], "english": [True] * 9, **{f: [["pages", "a", f"w{i % 4}"] * i for i in range(9)] for f in index.FIELDS}})
+    whole = pa.Table.from_batches(index._grouping("entries")(iter([docs]))).to_pylist()
+    monkeypatch.setattr(index, "SLICE", 50)
+    parts = list(index._grouping("entries")(iter([docs])))
+    assert len(whole) == 24 and len(parts) > 3 and sorted(map(str, pa.Table.from_batches(parts).to_pylist())) == sorted(map(str, whole))
